@@ -1,4 +1,20 @@
-"""Registered queries and, where SQL can express them, their oracles."""
+"""Registered queries of the engine's own operators, and their oracles: one text, in the spelling of either engine."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from leanprompt.functions.dialect import ORACLE, SPARK
+from leanprompt.operators import corpus, history
+from leanprompt.sources.tables import register
+
+
+def _query(make):
+    def run(spark, sf_dir):
+        register(spark, sf_dir)
+        return spark.sql(make(SPARK))
+
+    return run
+
+
+_ALL = [*history.QUERIES, *corpus.QUERIES]
+QUERIES = {make.__name__: _query(make) for make in _ALL}
+ORACLES = {make.__name__: make(ORACLE) for make in _ALL}
