@@ -47,10 +47,10 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 10_000) -> DataFrame:
     """mapInArrow with per-task state: make() runs once in a task, its result once for each batch.
 
-    The batch function returns a dict of column name to list/array, in the order of the schema.
+    The batch function returns a dict of column name to list/array, in the order of the schema; it gets at most rows rows.
     """
     arrow = _arrow_schema(df.sparkSession, schema)
 
@@ -59,7 +59,8 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
         for batch in batches:
             if batch.num_rows:
                 step = step or make()
-                yield _batch(step(batch), arrow)
+                for a in range(0, batch.num_rows, rows):
+                    yield _batch(step(batch.slice(a, rows)), arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,8 @@ class Words:
         self.count = dict(exact)
         self.symbol = {w: i for i, (w, _) in enumerate(exact[:TOP])}
         self.n, self.v = n, v
+        self.at = {w: i for i, (w, _) in enumerate(exact)}
+        self.symbol_at = np.array([i if i < TOP else class_of(w) for i, (w, _) in enumerate(exact)] + [0], np.int64)
         self.class_n, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
         for k, (cn, cv) in classes.items():
             self.class_n[k - TOP], self.class_v[k - TOP] = cn, cv
@@ -90,8 +93,16 @@ class Words:
         freq[TOP:] += self.class_n
         self.freq = freq / freq.sum()
 
-    def symbols(self, ws: list[bytes]) -> list[int]:
-        return [k if (k := self.symbol.get(w)) is not None else class_of(w) for w in ws]
+    def places(self, ws: list[bytes]) -> np.ndarray:
+        """Places of words among the broadcast ones, -1 for others."""
+        return np.array(list(map(self.at.get, ws, repeat(-1))), np.int64)
+
+    def symbols(self, ws: list[bytes], places: np.ndarray | None = None) -> np.ndarray:
+        at = self.places(ws) if places is None else places
+        out = self.symbol_at[at]
+        for i in np.flatnonzero(at < 0).tolist():
+            out[i] = class_of(ws[i])
+        return out
 
 
 class Parameters:
@@ -182,7 +193,7 @@ def train(docs: DataFrame, words: Words) -> Parameters:
 
         def step(batch: pa.RecordBatch) -> None:
             for t in batch.column(0).to_pylist():
-                wait.append(np.array(w.symbols(tokens(t)), np.int64))
+                wait.append(w.symbols(tokens(t)))
                 state[0] += len(wait[-1])
                 if state[0] > 1 << 19:
                     learn(True)
@@ -242,56 +253,58 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def make():
         w, p = shared.value
         scorer = Scorer(w, p)
-        base = {x: math.log10((c + ADD) / (w.n + ADD * (w.v + 1))) for x, c in w.count.items()}
-        below = [x for x in w.count if x not in w.symbol]
-        share = {x: math.log10((w.count[x] + ADD) / (w.class_n[k] + ADD * (w.class_v[k] + 1))) for x in below for k in (class_of(x) - TOP,)}
+        c = np.array([*w.count.values(), 0], np.float64)  # the last for words that are not broadcast
+        base = np.log10((c + ADD) / (w.n + ADD * (w.v + 1)))
+        k = np.maximum(w.symbol_at - TOP, 0)
+        share = np.where(w.symbol_at < TOP, 0.0, np.log10((c + ADD) / (w.class_n[k] + ADD * (w.class_v[k] + 1))))
+        base[-1] = share[-1] = 0.0
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids, held, key = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            out: dict = {k: [] for k in ("key", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")}
-            texts = [tokens(t) for t in batch.column(3).to_pylist()]
-            symbol, known = w.symbols, w.count
-            group: list[int] = []
-            size = 0
-            model_score = np.zeros(len(texts))
-
-            def flush() -> None:
-                arrays = [np.array(symbol(texts[d]), np.int64) for d in group]
+            key, held, ids = batch.column(2).to_pylist(), batch.column(1), batch.column(0)
+            n = len(key)
+            total, n_tokens, n_known = np.zeros((2, n)), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            rare_of: list[dict[bytes, int]] = []
+            arrays: list[np.ndarray] = []
+            first = size = 0
+
+            def flush(end: int) -> None:
                 lp = scorer.log_probabilities(*contexts(arrays))
-                model_score[group] = np.add.reduceat(lp, np.cumsum([0, *map(len, arrays[:-1])])) / LN10
-
-            for d, ws in enumerate(texts):
-                group.append(d)
+                total[1, first:end] += np.add.reduceat(lp, np.cumsum([0, *map(len, arrays[:-1])])) / LN10
+
+            for d, t in enumerate(batch.column(3).to_pylist()):
+                ws = tokens(t)
+                at = w.places(ws)
+                total[0, d], total[1, d] = base[at].sum(), share[at].sum()
+                other = np.flatnonzero(at < 0).tolist()
+                n_tokens[d], n_known[d] = len(ws), len(ws) - len(other)
+                rare_of.append(Counter([ws[i] for i in other]))
+                arrays.append(w.symbols(ws, at))
                 size += len(ws)
                 if size > 1 << 21:
-                    flush()
-                    group, size = [], 0
-            if group:
-                flush()
-            for d, ws in enumerate(texts):
-                rare: dict[bytes, int] = {}
-                total = extra = 0.0
-                n_known = 0
-                for x, tf in sorted(Counter(ws).items()):
-                    if x in known:
-                        n_known += tf
-                        total += tf * base[x]
-                        extra += tf * share.get(x, 0.0)
-                    else:
-                        rare[x] = tf
-                rows = len(rare) + 1
-                out["key"] += [key[d]] * rows
-                out["word"] += [b"\xff" + key[d].to_bytes(8), *rare]  # no word has the byte 255
-                out["tf"] += [0, *rare.values()]
-                for k, x in (("doc_id", ids[d].as_py()), ("held_out", held[d].as_py()), ("n_tokens", len(ws)), ("n_known", n_known), ("base", total), ("score", model_score[d] + extra)):
-                    out[k] += [x] + [None] * (rows - 1)
-            return out
+                    flush(d + 1)
+                    arrays, first, size = [], d + 1, 0
+            if arrays:
+                flush(n)
+            each = np.fromiter((len(r) + 1 for r in rare_of), np.int64, n)
+            begin = np.cumsum(each) - each
+            rows = int(each.sum())
+            own = np.ones(rows, bool)
+            own[begin] = False
+            words_, tf = [], np.zeros(rows, np.int64)
+            for d, r in enumerate(rare_of):
+                words_.append(b"\xff" + key[d].to_bytes(8))  # no word has the byte 255
+                words_ += r
+                tf[begin[d] + 1 : begin[d] + each[d]] = list(r.values())
+            of = np.repeat(np.arange(n), each)
+            wide = lambda x: pa.array(x[of], mask=own)
+            take = pa.array(np.where(own, -1, of), mask=own)
+            return {"key": np.array(key, np.int64)[of], "word": pa.array(words_, pa.binary()), "tf": tf, "doc_id": ids.take(take), "held_out": held.take(take), "n_tokens": wide(n_tokens), "n_known": wide(n_known), "base": wide(total[0]), "score": wide(total[1])}
 
         return step
 
     # one row a document, and one for each further distinct word whose count is to be joined; what belongs to a text meets again by its key
     keyed = docs.select("doc_id", "held_out", F.monotonically_increasing_id().alias("key"), "text")
-    rows = by_batch(keyed, "key long, word binary, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double", make)
+    rows = by_batch(keyed, "key long, word binary, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double", make, rows=2_500)
     c = F.coalesce("c", F.lit(0))
     k = of_class - TOP
     class_n, class_v = (F.element_at(F.array(*[F.lit(float(x)) for x in xs]), k + 1) for xs in (words.class_n, words.class_v))
