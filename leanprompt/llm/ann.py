@@ -91,7 +91,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     facts = vectors.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).alias("top")).first()
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     n, top = facts["n"], facts["top"] or 0.0
-    anchors = np.unique(np.array([r["embedding"] for r in picked]).reshape(len(picked), -1), axis=0)
+    anchors = np.unique(np.array([r["embedding"] for r in picked]), axis=0) if picked else np.empty((0, 0))
     if len(anchors):
         anchors = spread(unit(anchors, np.sqrt(np.maximum(0, top * top - (anchors * anchors).sum(1)))), pivots)
     shared = spark.sparkContext.broadcast(anchors)
