@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import by_batch, documents, keep
 from .components import components
 
-TILE = 16_384  # fingerprints a tile
+TILE = 131_072  # fingerprints a tile: two are 4 MB, and larger tiles are copied to fewer pairs and prune better
+WIDE_TILE = 32_768  # the same for fingerprints of many words
 BLOCK = 256  # fingerprints a block within a tile
 MANY = 1 << 16  # shingles held at once
 
@@ -209,7 +210,7 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 16, tile: int = 2 * TILE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 16, tile: int = WIDE_TILE) -> DataFrame:
     """docs without all but the smallest doc_id of each group of near-duplicates, by fingerprints of 64 * words bits over
     shingles of size words. Of rows that share a doc_id one stays; rows without doc_id stay. Columns are kept."""
     groups = near_duplicates(docs, size, words, radius_of(similarity, 64 * words), tile)
