@@ -35,7 +35,7 @@ class Dialect:
         return f"cast(date_trunc('month', {date}) as date)"
 
     def seconds(self, ts: str) -> str:
-        return f"(unix_micros({ts}) / 1000000.0D)" if self.spark else f"(epoch_us({ts}) / 1000000.0)"
+        return f"(unix_micros(cast({ts} as timestamp)) / 1000000.0D)" if self.spark else f"(epoch_us({ts}) / 1000000.0)"
 
     def later(self, ts: str, hours: str, minutes: str) -> str:
         if self.spark:
