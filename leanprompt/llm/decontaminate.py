@@ -5,13 +5,16 @@ an item if some stretch of it is within floor(EDITS * n) edits of all the item's
 
 The CGK random walk copies a word sequence to a longer one, and repeats or advances by a random bit that depends on
 the step and the word; two sequences at small edit distance walk into step again, so that their images differ in few
-places. Bit-sampling LSH takes PLACES places of the image; over REPEATS walks a window and an item meet with the target
-recall. Items are embedded by their first L words, L the next smaller of a geometric series of sizes, and windows of L words stand at every place of
-every document. Windows too poor in the items' word pairs to be that near an item (each edit touches at most two pairs
-of a window) are skipped, which loses none, and so are those with fewer than two of an item's first three words in
-place: after one edit there, some window still has two. Pairs, first words and keys are tested against bitmaps of fixed size, so nothing that is
-broadcast grows with the benchmark; a false hit only costs a join row. Regions of windows that hit are joined with the
-items on the LSH key, and verified exactly by a bit-parallel edit distance of the whole item.
+places. Bit-sampling LSH takes PLACES places of the image, over REPEATS walks. Items are embedded piece by piece: PIECE
+words at every STEP-th word and at the end. However the edits lie, pieces hold EDITS * PIECE of them on average, so that
+some piece has at most one edit whatever the item's length, and a piece without edits always meets its copy.
+
+A stretch within the edits of an item has most of its word pairs (each edit touches at most two), and so has every window
+of its words; windows are of a geometric series of sizes. Words of a document in no window rich enough in the items'
+pairs are skipped, which loses none, and at every other word a piece is walked. A run of such words holds the whole of
+any stretch that it holds a part of; runs that hit are joined with the items on the LSH key, and verified exactly by a
+bit-parallel edit distance of the whole item. Pairs and keys are tested against bitmaps of fixed size, so nothing that is
+broadcast grows with the benchmark; a false hit only costs a join row.
 
 Null and empty texts hold nothing. Items with fewer than MIN_WORDS words say too little and are ignored. Repeated rows
 of documents give one result for each doc_id and item; a null doc_id or item_id gives none. Empty tables give an empty
@@ -32,7 +35,7 @@ from .common import by_batch, documents, keep, table
 
 EDITS = 0.2
 MIN_WORDS = 8
-BEGIN = 3  # first words of a window, of which all but one stand as in an item of its size
+PIECE, STEP = 8, 4  # words that are embedded together, and words from one piece of an item to the next
 PLACES, REPEATS, SEED = 4, 16, 20
 BITS = 24  # of the bitmaps: 2 MB each
 SIZES = [8]
@@ -78,16 +81,16 @@ def pairs_needed(size: int) -> int:
     return max(1, size - 1 - 2 * int(EDITS * longest))
 
 
-def walk_keys(s: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """LSH keys (windows x REPEATS) of the windows of size words of s at starts."""
+def walk_keys(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """LSH keys (pieces x REPEATS) of the pieces of s at starts."""
     out = np.empty((len(starts), REPEATS), np.uint64)
     for rep in range(REPEATS):
-        r = np.random.default_rng((SEED, size, rep))
-        sampled = set(np.sort(r.choice(2 * size, PLACES, replace=False)).tolist())
-        salts = r.integers(1, 1 << 62, 2 * size).astype(np.uint64)
-        at, key = np.zeros(len(starts), np.int64), np.full(len(starts), size * 64 + rep, np.uint64)
+        r = np.random.default_rng((SEED, PIECE, rep))
+        sampled = set(np.sort(r.choice(2 * PIECE, PLACES, replace=False)).tolist())
+        salts = r.integers(1, 1 << 62, 2 * PIECE).astype(np.uint64)
+        at, key = np.zeros(len(starts), np.int64), np.full(len(starts), PIECE * 64 + rep, np.uint64)
         for t in range(max(sampled) + 1):
-            word = np.where(at < size, s[np.minimum(starts + at, len(s) - 1)], _U(0))
+            word = np.where(at < PIECE, s[np.minimum(starts + at, len(s) - 1)], _U(0))
             if t in sampled:
                 key = mix(key * _U(0x9E3779B97F4A7C15) + word)
             at += (mix(word ^ salts[t]) >> _U(63)).astype(np.int64)
@@ -95,6 +98,11 @@ def walk_keys(s: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def pieces(n: int) -> np.ndarray:
+    """Where the pieces of an item of n words start."""
+    return np.unique(np.append(np.arange(0, n - PIECE + 1, STEP), n - PIECE))
+
+
 def distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
     """The least edit distance of the whole item to any stretch of text, and where the first such stretch ends (Myers' bit vectors)."""
     n = len(item)
@@ -117,22 +125,22 @@ def distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
 
 
 def item_keys(benchmark: DataFrame) -> DataFrame:
-    """item_id, its words, the size it is embedded by, LSH keys and word-pair hashes of each item long enough."""
+    """item_id, its words, the size of its windows, LSH keys and word-pair hashes of each item long enough."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            out: dict = {"item_id": [], "words": [], "size": [], "keys": [], "pairs": [], "begins": []}
+            out: dict = {"item_id": [], "words": [], "size": [], "keys": [], "pairs": []}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = words(t)
                 if len(ws) >= MIN_WORDS:
-                    s, size = symbols(ws), size_of(len(ws))
-                    for k, v in (("item_id", i), ("words", b" ".join(ws)), ("size", size), ("keys", walk_keys(s, np.zeros(1, np.int64), size)[0].view(np.int64)), ("pairs", pairs(s)), ("begins", [int(beginnings(s, np.zeros(1, np.int64), size, j)[0]) for j in range(BEGIN)])):
+                    s = symbols(ws)
+                    for k, v in (("item_id", i), ("words", b" ".join(ws)), ("size", size_of(len(ws))), ("keys", np.unique(walk_keys(s, pieces(len(ws)))).view(np.int64)), ("pairs", pairs(s))):
                         out[k].append(v)
             return out
 
         return step
 
-    return by_batch(benchmark.where("item_id is not null").select("item_id", "text"), "item_id long, words binary, size int, keys array<long>, pairs array<long>, begins array<long>", make)
+    return by_batch(benchmark.where("item_id is not null").select("item_id", "text"), "item_id long, words binary, size int, keys array<long>, pairs array<long>", make)
 
 
 def bitmap(values: DataFrame) -> np.ndarray:
@@ -152,75 +160,58 @@ def key_bits(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> _U(64 - BITS)).astype(np.int64)
 
 
-def beginnings(s: np.ndarray, starts: np.ndarray, size: int, offset: int) -> np.ndarray:
-    """A hash of BITS bits of the word that stands offset after each start, for items of this size."""
-    return (mix(s[starts + offset] * _U(0x9E3779B97F4A7C15) + _U(size * 8 + offset)) >> _U(64 - BITS)).astype(np.int64)
-
-
-def regions(docs: DataFrame, sizes: list[int], pair_map: np.ndarray, begin_map: np.ndarray, key_map: np.ndarray) -> DataFrame:
-    """Stretches of documents with windows whose keys may be an item's: doc_id, start (in words), words and the keys."""
-    shared = docs.sparkSession.sparkContext.broadcast((pair_map, begin_map, key_map))
+def regions(docs: DataFrame, sizes: list[int], pair_map: np.ndarray, key_map: np.ndarray) -> DataFrame:
+    """Stretches of documents with pieces whose keys may be an item's: doc_id, start (in words), words and the keys."""
+    shared = docs.sparkSession.sparkContext.broadcast((pair_map, key_map))
     needed = {n: pairs_needed(n) for n in sizes}
     least = min(needed.values(), default=0)
-    pad = np.zeros(max(sizes, default=0) + BEGIN, np.uint64)
-
-    def windows(s: np.ndarray):
-        """(size, starts) of the windows near enough to an item of that size by word pairs and by their first words."""
-        pairs_, begins, _ = shared.value
-        total = np.concatenate(([0], np.cumsum(has(pairs_, pairs(s)))))
-        if not sizes or total[-1] < least:
-            return
-        padded = np.concatenate((s, pad))
-        for n in sizes:
-            m = min(n, len(s))
-            starts = np.flatnonzero(total[m - 1 :] - total[: len(total) - m + 1] >= needed[n])
-            if not len(starts):
-                continue
-            if starts[-1] == len(s) - m:  # windows that the document's end cuts off
-                starts = np.concatenate((starts, np.arange(starts[-1] + 1, min(len(s) - 1, starts[-1] + 1 + n // 4))))
-            if starts[0] > 0:  # windows that begin before an item whose first words are gone
-                starts = np.concatenate(([starts[0] - 1], starts))
-            same = sum(has(begins, beginnings(padded, starts, n, j)).astype(np.int8) for j in range(BEGIN))
-            starts = starts[same >= BEGIN - 1]
-            if len(starts):
-                yield n, starts
+    pad = np.zeros(PIECE, np.uint64)
+
+    def runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-the-last words of the runs covered by windows rich enough in the items' word pairs."""
+        total = np.concatenate(([0], np.cumsum(has(shared.value[0], pairs(s)))))
+        step = np.zeros(len(s) + 1, np.int64)
+        if sizes and total[-1] >= least:
+            for n in sizes:
+                m = min(n, len(s))
+                starts = np.flatnonzero(total[m - 1 :] - total[: len(total) - m + 1] >= needed[n])
+                step[starts] += 1
+                step[starts + m] -= 1
+        edges = np.diff((np.cumsum(step) > 0).astype(np.int8), prepend=0)
+        return np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kept, base = [], 0  # symbols of the texts with windows, one after the other
-            at: dict[int, list] = {n: [] for n in sizes}
+            line, found, base = [], [], 0  # symbols of the runs, one after the other; (row, start, end) and place of each
             for row, t in enumerate(texts):
                 ws = words(t)
-                if len(ws) < MIN_WORDS:
+                # a copy of MIN_WORDS words may have lost as many as there are edits
+                if len(ws) < MIN_WORDS - int(EDITS * MIN_WORDS):
                     continue
                 s = symbols(ws)
-                some = False
-                for n, starts in windows(s):
-                    some = True
-                    at[n].append((row, base, starts))
-                if some:
-                    kept += [s, pad]
-                    base += len(s) + len(pad)
-            hits: dict[int, list] = {}
-            line = np.concatenate(kept) if kept else pad
-            for n, parts in at.items():
-                if not parts:
-                    continue
-                rows = np.concatenate([np.full(len(x), r) for r, _, x in parts])
-                starts = np.concatenate([x for _, _, x in parts])
-                places = np.concatenate([x + b for _, b, x in parts])
-                for a in range(0, len(rows), 1 << 16):
-                    keys = walk_keys(line, places[a : a + (1 << 16)], n)
-                    found = has(shared.value[2], key_bits(keys.reshape(-1))).reshape(keys.shape)
-                    for k in np.flatnonzero(found.any(1)):
-                        hits.setdefault(int(rows[a + k]), []).append((int(starts[a + k]), n, keys[k][found[k]]))
+                for a, b in zip(*(x.tolist() for x in runs(s))):
+                    line += [s[a : b + PIECE], pad]
+                    found.append((row, a, b, base))
+                    base += len(line[-2]) + PIECE
             out: dict = {"doc_id": [], "start": [], "words": [], "keys": []}
-            for row, found in hits.items():
-                ws = words(texts[row])
-                for start, end, keys in merged(found, len(ws)):
-                    for k, v in (("doc_id", ids[row]), ("start", start), ("words", b" ".join(ws[start:end])), ("keys", np.unique(keys).view(np.int64))):
-                        out[k].append(v)
+            if not found:
+                return out
+            symbols_ = np.concatenate(line)
+            lengths = np.array([b - a for _, a, b, _ in found])
+            of = np.repeat(np.arange(len(found)), lengths)
+            first = np.repeat(np.array([p for *_, p in found]) - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
+            places = first + np.arange(len(of))
+            hits: dict[int, list] = {}
+            for a in range(0, len(of), 1 << 16):
+                keys = walk_keys(symbols_, places[a : a + (1 << 16)])
+                hit = has(shared.value[1], key_bits(keys.reshape(-1))).reshape(keys.shape)
+                for k in np.flatnonzero(hit.any(1)):
+                    hits.setdefault(int(of[a + k]), []).append(keys[k][hit[k]])
+            for k, keys in hits.items():
+                row, start, end, _ = found[k]
+                for name, v in (("doc_id", ids[row]), ("start", start), ("words", b" ".join(words(texts[row])[start:end])), ("keys", np.unique(np.concatenate(keys)).view(np.int64))):
+                    out[name].append(v)
             return out
 
         return step
@@ -228,21 +219,6 @@ def regions(docs: DataFrame, sizes: list[int], pair_map: np.ndarray, begin_map:
     return by_batch(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id long, start int, words binary, keys array<long>", make)
 
 
-def merged(hits: list, length: int):
-    """(start, end, keys) of the stretches around windows (start, size, keys) that overlap, wide enough for an item of that size."""
-    now = None
-    for at, n, keys in sorted(hits, key=lambda h: h[:2]):
-        a, b = max(0, at - n // 4 - 2), min(length, at + (3 * n) // 2 + 4)
-        if now and a <= now[1]:
-            now = (now[0], max(now[1], b), np.concatenate((now[2], keys)))
-        else:
-            if now:
-                yield now
-            now = (a, b, keys)
-    if now:
-        yield now
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, n_words (of the item), start and end (in words of the document, the stretch ends at end):
     for each document and item it holds, the occurrence with the fewest edits, the first on ties."""
@@ -251,8 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = items.select("item_id", F.explode("keys").alias("key"))
     pair_map = bitmap(items.select(F.explode("pairs").alias("x")))
     key_map = bitmap(keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("x")))
-    begin_map = bitmap(items.select(F.explode("begins").alias("x")))
-    found = keep(regions(docs, sizes, pair_map, begin_map, key_map))
+    found = keep(regions(docs, sizes, pair_map, key_map))
     hits = found.select("doc_id", "start", F.xxhash64("words").alias("hash"), F.explode("keys").alias("key"))
     candidates = hits.join(keys, "key").select("doc_id", "start", "hash", "item_id").distinct()
     stretches = found.select("doc_id", "start", F.xxhash64("words").alias("hash"), "words").distinct()

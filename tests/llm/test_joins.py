@@ -62,6 +62,21 @@ def test_edited_items_are_found(spark):
     assert got <= {(k, k) for k in range(60)} and len(got) >= 57
 
 
+def test_edits_among_the_first_words(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3_000)]
+    items = [[r.choice(vocabulary) for _ in range(n)] for n in (15, 20, 25, 40) for _ in range(10)]
+    changes = [lambda w: [w[0], *w[2:]], lambda w: w[1:], lambda w: ["new", "newer", *w[2:]], lambda w: w[3:], lambda w: ["new", *w[1:2], "newer", *w[3:]]]
+    docs = []
+    for k, item in enumerate(items):
+        for j, change in enumerate(changes):
+            around = [[r.choice(vocabulary) for _ in range(n)] for n in (r.choice([0, 50]), r.choice([0, 50]))]
+            docs.append((len(changes) * k + j, " ".join([*around[0], *change(item), *around[1]])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(d, d // len(changes)) for d, _ in docs}
+
+
 def test_contamination_odd_rows(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog the quick brown fox"), (1, "the quick brown fox jumps over a lazy dog the quick brown fox"), (2, None), (3, ""), (None, "plain words of a plain text and some more")], "item_id long, text string")
