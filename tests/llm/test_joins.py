@@ -77,6 +77,25 @@ def test_edits_among_the_first_words(spark):
     assert got == {(d, d // len(changes)) for d, _ in docs}
 
 
+def test_recall_at_all_allowed_edits_does_not_fall_with_length(spark):
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(5_000)]
+    items, docs = [], []
+    for n in (8, 10, 15, 20, 40, 80):
+        for _ in range(50):
+            item = [r.choice(vocabulary) for _ in range(n)]
+            ws = list(item)
+            for k in sorted(r.sample(range(n), int(decontaminate.EDITS * n)), reverse=True):
+                ws[k : k + 1] = r.choice([[], ["new"], [ws[k], "new"]])
+            docs.append((len(items), " ".join([*(r.choice(vocabulary) for _ in range(60)), *ws, *(r.choice(vocabulary) for _ in range(60))])))
+            items.append((len(items), " ".join(item), n))
+    bench = spark.createDataFrame(items, "item_id long, text string, n int")
+    got = {x.item_id for x in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect() if x.doc_id == x.item_id}
+    for n in (8, 10, 15, 20, 40, 80):
+        of_size = [i for i, _, k in items if k == n]
+        assert len(got.intersection(of_size)) >= 0.98 * len(of_size), n
+
+
 def test_contamination_odd_rows(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog the quick brown fox"), (1, "the quick brown fox jumps over a lazy dog the quick brown fox"), (2, None), (3, ""), (None, "plain words of a plain text and some more")], "item_id long, text string")
