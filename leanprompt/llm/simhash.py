@@ -8,6 +8,10 @@ fingerprints are one vertex, so that groups of copies cost nothing.
 
 Empty texts, and texts without words, have fingerprint zero and are linked like any other. Rows with a null doc_id get
 a fingerprint but no component (null). Repeated rows give repeated results; an empty table an empty one.
+
+To drop near-duplicates, fingerprints are of sets of shingles, and what they link is only a candidate: within each
+component a link counts if the Jaccard similarity of the two sets of shingle hashes is high enough, and components are
+contracted again from those links. Sets travel only with documents that some fingerprint links.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from .components import components
 
 TILE = 131_072  # fingerprints a tile: two are 4 MB, and larger tiles are copied to fewer pairs and prune better
 WIDE_TILE = 32_768  # the same for fingerprints of many words
+SET_TILE = 4_096  # the same where each fingerprint comes with its set of shingles
 BLOCK = 256  # fingerprints a block within a tile
 MANY = 1 << 16  # shingles held at once
 
@@ -52,9 +57,12 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, size: int, words: int = 1) -> bytes:
-    """Big-endian; a bit is 1 if set in more than half the shingles' hashes. Beyond 64 bits, further hashes of each shingle."""
+def fingerprint(text: bytes, size: int, words: int = 1, distinct: bool = False) -> bytes:
+    """Big-endian; a bit is 1 if set in more than half the shingles' hashes. Beyond 64 bits, further hashes of each shingle.
+    A shingle counts as often as it occurs, or once if distinct."""
     h = shingle_hashes(text, size)
+    if distinct:
+        h = np.unique(h)
     if not len(h):
         return bytes(8 * words)
     sums = np.zeros(64 * words, np.int64)
@@ -66,12 +74,12 @@ def fingerprint(text: bytes, size: int, words: int = 1) -> bytes:
     return np.packbits(2 * sums > len(h)).tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int, words: int) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int, words: int, distinct: bool = False) -> DataFrame:
     """doc_id, fp (binary) and its population count."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            fps = [fingerprint(t.encode(), size, words) if t else bytes(8 * words) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t.encode(), size, words, distinct) if t else bytes(8 * words) for t in batch.column(1).to_pylist()]
             return {"doc_id": batch.column(0), "fp": fps, "pop": [int.from_bytes(f).bit_count() for f in fps]}
 
         return step
@@ -203,6 +211,67 @@ def near_duplicates(docs: DataFrame, size: int = 4, words: int = 1, radius: int
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats; two empty sets are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return same / (len(a) + len(b) - same)
+
+
+def shingle_sets(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """doc_id, fp over distinct shingles and the sorted distinct shingle hashes (8 bytes each) of docs(doc_id, text)."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            return {"doc_id": batch.column(0), "fp": [fingerprint(t, size, words, True) for t in texts], "set": [np.unique(shingle_hashes(t, size)).tobytes() for t in texts]}
+
+        return step
+
+    return by_batch(docs.select("doc_id", "text"), "doc_id long, fp binary, set binary", make, rows=1_000)
+
+
+def verified_links(members: DataFrame, radius: int, similarity: float, tile: int = SET_TILE) -> DataFrame:
+    """Edges (u, v) of spanning forests of the links within the radius, of members(id long, fp binary, root long, set binary),
+    whose sets have that Jaccard similarity; root is the component by fingerprints alone, and links do not leave it.
+
+    Small components share tasks; a large one is dealt into tiles, each two of which are one task. A link is verified
+    only where it joins two classes.
+    """
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    shared = max(1, math.ceil(members.count() / tile))
+    whole = F.col("tiles") == 1
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    dealt = members.join(sizes, "root").select("id", "fp", "set", whole.alias("whole"), F.when(whole, F.pmod(F.xxhash64("root"), F.lit(shared))).otherwise(F.col("root")).alias("g"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("id", "fp", "set", "whole", "g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("right"))
+
+    def forest(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
+        sets = t.column("set")
+        right = t.column("right").to_numpy()
+        same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
+        left = np.flatnonzero(~right)
+        other = left if same else np.flatnonzero(right)
+        f = Forest(len(ids))
+        read = lambda k: np.frombuffer(sets[int(k)].as_buffer(), np.uint64)
+        for i, j in close_pairs(fps[left], fps[other], radius, same):
+            i, j = left[i], other[j]
+            while len(i):
+                apart = f.of[i] != f.of[j]
+                i, j = i[apart], j[apart]
+                # one link of each two classes at a time: if it holds, the others are not needed
+                _, first = np.unique(np.stack([np.minimum(f.of[i], f.of[j]), np.maximum(f.of[i], f.of[j])]), axis=1, return_index=True)
+                good = np.array([jaccard(read(x), read(y)) >= similarity for x, y in zip(i[first], j[first])], bool)
+                f.add(i[first][good], j[first][good])
+                i, j = np.delete(i, first), np.delete(j, first)
+        u, v = np.array(f.edges, np.int64).reshape(-1, 2).T
+        return pa.table({"u": ids[u], "v": ids[v]})
+
+    return dealt.groupBy("whole", "g", "a", "b").applyInArrow(forest, "u long, v long")
+
+
 def radius_of(similarity: float, bits: int) -> int:
     """The Hamming radius for a Jaccard similarity: sets of equal size have cosine 2s / (1 + s), and fingerprints differ in
     the angle's share of the bits. Half a standard deviation is added, so that most pairs at the similarity are within."""
@@ -210,11 +279,22 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 16, tile: int = WIDE_TILE) -> DataFrame:
-    """docs without all but the smallest doc_id of each group of near-duplicates, by fingerprints of 64 * words bits over
-    shingles of size words. Of rows that share a doc_id one stays; rows without doc_id stay. Columns are kept."""
-    groups = near_duplicates(docs, size, words, radius_of(similarity, 64 * words), tile)
-    kept = keep(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 16, tile: int = WIDE_TILE, set_tile: int = SET_TILE) -> DataFrame:
+    """docs without all but the smallest doc_id of each group of near-duplicates: documents linked by a Jaccard similarity
+    of their sets of shingles of size words. Candidates are found by fingerprints of 64 * words bits. Of rows that share a
+    doc_id one stays; rows without doc_id stay. Columns are kept."""
+    radius = radius_of(similarity, 64 * words)
+    prints = keep(fingerprints(docs.where("doc_id is not null"), size, words, distinct=True))
+    # a vertex is a fingerprint, by a number of its own: rows that share a doc_id can have several
+    points = keep(prints.groupBy("fp", "pop").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()))
+    roots = keep(components(links(points, 64 * words, radius, tile)).select(F.col("u").alias("id"), "root"))
+    linked = points.join(roots, "id").select("id", "doc_id", "fp", "root")
+    sets = shingle_sets(docs.join(linked.select("doc_id"), "doc_id", "left_semi"), size, words)
+    members = keep(linked.join(sets, ["doc_id", "fp"]).groupBy("id", "fp", "root").agg(F.min("set").alias("set")))
+    near = components(verified_links(members, radius, similarity, set_tile)).select(F.col("u").alias("id"), F.col("root").alias("group"))
+    named = points.join(near, "id", "left").select("fp", "doc_id", F.coalesce("group", "id").alias("group"))
+    named = named.join(named.groupBy("group").agg(F.min("doc_id").alias("least")), "group").select("fp", "least")
+    kept = keep(prints.join(named, "fp").where("doc_id = least").groupBy("doc_id").agg(F.count("*").alias("n")))
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
     if not kept.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])

@@ -57,3 +57,41 @@ def test_one_of_each_group_stays(spark):
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [10, 7, None]
     assert simhash.drop_near_duplicates(no_documents(spark)).count() == 0
+
+
+def test_shared_filler_is_no_near_duplicate(spark):
+    rows = [(i, "filler " * 2_000 + " ".join(f"d{i}w{k}" for k in range(300))) for i in range(6)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
+
+
+def plain_groups(rows, similarity=0.8, size=5):
+    """The smallest doc_id of each group linked by exact Jaccard similarity."""
+    sets = {}
+    for i, t in rows:
+        ws = words(t)
+        sets[i] = {tuple(ws[k : k + size]) for k in range(len(ws) - size + 1)} if len(ws) > size else {tuple(ws)}
+    of = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(sets, 2):
+            if of[a] != of[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                of[a] = of[b] = min(of[a], of[b])
+                changed = True
+    return sorted(set(of.values()))
+
+
+def test_links_are_verified_exactly(spark):
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for v, edits in enumerate((0, 1, 2, 3, 4, 5, 6, 7, 8)):
+            ws = list(base)
+            for e in range(edits):
+                ws[20 + 30 * e] = f"x{v}e{e}"
+            rows.append((100 * g + v, " ".join(ws)))
+    want = plain_groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for set_tile in (4_096, 3):
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, set_tile=set_tile).collect()) == want
