@@ -9,9 +9,12 @@ fingerprints are one vertex, so that groups of copies cost nothing.
 Empty texts, and texts without words, have fingerprint zero and are linked like any other. Rows with a null doc_id get
 a fingerprint but no component (null). Repeated rows give repeated results; an empty table an empty one.
 
-To drop near-duplicates, fingerprints are of sets of shingles, and what they link is only a candidate: within each
-component a link counts if the Jaccard similarity of the two sets of shingle hashes is high enough, and components are
-contracted again from those links. Sets travel only with documents that some fingerprint links.
+To drop near-duplicates (Jaccard similarity of the sets of five-word shingles at least 0.8), population counts skip next to
+nothing: at that similarity the radius is a seventh of the bits. There tiles are formed of documents that share a bucket
+of a min-hash (BANDS keys of ROWS minima each), so that their number grows with the documents; a pair at the similarity
+shares no bucket with probability (1 - s ** ROWS) ** BANDS, 6e-4 at 0.8 and 4e-5 at 0.85. Within a tile nothing is lost:
+close fingerprints are verified first and join most classes, and all other pairs of different classes that can be similar
+(by a prefix filter, which is exact) are verified by the exact Jaccard similarity of their sets.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from .common import by_batch, documents, keep
 from .components import components
 
 TILE = 131_072  # fingerprints a tile: two are 4 MB, and larger tiles are copied to fewer pairs and prune better
-WIDE_TILE = 32_768  # the same for fingerprints of many words
-SET_TILE = 4_096  # the same where each fingerprint comes with its set of shingles
+SET_TILE, SET_BYTES = 2_048, 32 << 20  # the same where each fingerprint comes with its set of shingles, and bytes of those
+BANDS, ROWS = 40, 8  # of the min-hash
+SEED = 5
 BLOCK = 256  # fingerprints a block within a tile
 MANY = 1 << 16  # shingles held at once
 
@@ -57,12 +61,8 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, size: int, words: int = 1, distinct: bool = False) -> bytes:
-    """Big-endian; a bit is 1 if set in more than half the shingles' hashes. Beyond 64 bits, further hashes of each shingle.
-    A shingle counts as often as it occurs, or once if distinct."""
-    h = shingle_hashes(text, size)
-    if distinct:
-        h = np.unique(h)
+def bits_of(h: np.ndarray, words: int = 1) -> bytes:
+    """Big-endian; a bit is 1 if set in more than half the hashes. Beyond 64 bits, further hashes of each."""
     if not len(h):
         return bytes(8 * words)
     sums = np.zeros(64 * words, np.int64)
@@ -74,12 +74,17 @@ def fingerprint(text: bytes, size: int, words: int = 1, distinct: bool = False)
     return np.packbits(2 * sums > len(h)).tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int, words: int, distinct: bool = False) -> DataFrame:
+def fingerprint(text: bytes, size: int, words: int = 1) -> bytes:
+    """Of the text's shingles, each as often as it occurs."""
+    return bits_of(shingle_hashes(text, size), words)
+
+
+def fingerprints(docs: DataFrame, size: int, words: int) -> DataFrame:
     """doc_id, fp (binary) and its population count."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            fps = [fingerprint(t.encode(), size, words, distinct) if t else bytes(8 * words) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t.encode(), size, words) if t else bytes(8 * words) for t in batch.column(1).to_pylist()]
             return {"doc_id": batch.column(0), "fp": fps, "pop": [int.from_bytes(f).bit_count() for f in fps]}
 
         return step
@@ -90,8 +95,12 @@ def fingerprints(docs: DataFrame, size: int, words: int, distinct: bool = False)
 class Forest:
     """Union-find over positions; vectorised where most new links are within one class already."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, classes: np.ndarray | None = None):
+        """classes: of each position, equal ones are one class to begin with."""
         self.of = np.arange(n)
+        if classes is not None:
+            _, first, of = np.unique(classes, return_index=True, return_inverse=True)
+            self.of = first[of.reshape(-1)]
         self.edges: list[tuple[int, int]] = []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -132,11 +141,6 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
     oa, low_a, high_a = blocks(a)
     ob, low_b, high_b = (oa, low_a, high_a) if same else blocks(b)
     a, b = np.ascontiguousarray(a[oa].T), np.ascontiguousarray(b[ob].T)
-    # all pairs are compared in the first 128 bits; in the others those that are no further apart there than five standard
-    # deviations above what a pair at the radius has (with up to 128 bits there are no others: the comparison is exact)
-    many = min(2, a.shape[0])
-    share = radius / (64 * a.shape[0])
-    ahead = radius if a.shape[0] <= 2 else min(radius, math.ceil(128 * share + 5 * math.sqrt(128 * share * (1 - share))))
     for x in range(len(low_a)):
         apart = np.maximum(0, np.maximum(low_b - high_a[x], low_a[x] - high_b)).sum(1)
         near = np.flatnonzero(apart <= radius)
@@ -146,16 +150,13 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
         for y in near:
             right = b[:, y * BLOCK : (y + 1) * BLOCK]
             d = np.bitwise_count(left[0][:, None] ^ right[0])
-            for w in range(1, many):
-                d = d + np.bitwise_count(left[w][:, None] ^ right[w])
-            i, j = np.nonzero(d <= ahead)
+            if a.shape[0] > 3:
+                d = d.astype(np.uint16)
+            for w in range(1, a.shape[0]):
+                d += np.bitwise_count(left[w][:, None] ^ right[w])
+            i, j = np.nonzero(d <= radius)
             if same and x == y:
                 i, j = i[i < j], j[i < j]
-            if len(i) and a.shape[0] > many:
-                full = d[i, j].astype(np.int32)
-                for w in range(many, a.shape[0]):
-                    full += np.bitwise_count(left[w][i] ^ right[w][j])
-                i, j = i[full <= radius], j[full <= radius]
             if len(i):
                 yield oa[i + x * BLOCK], ob[j + y * BLOCK]
 
@@ -219,57 +220,137 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same)
 
 
-def shingle_sets(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """doc_id, fp over distinct shingles and the sorted distinct shingle hashes (8 bytes each) of docs(doc_id, text)."""
+def min_hash_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of the min-hash of distinct shingle hashes; equal sets have equal keys, an empty set none."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    r = np.random.default_rng(SEED)
+    factor = r.integers(1, 1 << 62, bands * rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = r.integers(0, 1 << 62, bands * rows).astype(np.uint64)
+    least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for a in range(0, len(h), 512):  # blocks that stay in the cache
+        np.minimum(least, (h[a : a + 512, None] * factor + shift).min(axis=0), out=least)
+    least = least.reshape(bands, rows)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        keys = mixed(keys ^ least[:, k], k + 1)
+    return keys.view(np.int64)
+
+
+def set_prints(docs: DataFrame, size: int, words: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, digest of the set of shingle hashes, its size, its fingerprint and min-hash keys."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "fp": [fingerprint(t, size, words, True) for t in texts], "set": [np.unique(shingle_hashes(t, size)).tobytes() for t in texts]}
+            out: dict = {"doc_id": batch.column(0), "digest": [], "n": [], "fp": [], "keys": []}
+            for t in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes((t or "").encode(), size))
+                for k, v in (("digest", xxhash.xxh3_128_digest(h.tobytes())), ("n", len(h)), ("fp", bits_of(h, words)), ("keys", min_hash_keys(h, bands, rows))):
+                    out[k].append(v)
+            return out
 
         return step
 
-    return by_batch(docs.select("doc_id", "text"), "doc_id long, fp binary, set binary", make, rows=1_000)
+    return by_batch(docs.select("doc_id", "text"), "doc_id long, digest binary, n int, fp binary, keys array<long>", make, rows=2_500)
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, digest of the set and the sorted distinct shingle hashes (8 bytes each) of docs(doc_id, text)."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            sets = [np.unique(shingle_hashes((t or "").encode(), size)).tobytes() for t in batch.column(1).to_pylist()]
+            return {"doc_id": batch.column(0), "digest": [xxhash.xxh3_128_digest(x) for x in sets], "set": sets}
+
+        return step
+
+    return by_batch(docs.select("doc_id", "text"), "doc_id long, digest binary, set binary", make, rows=1_000)
+
+
+def prefix_pairs(sets: list[np.ndarray], of: np.ndarray, similarity: float):
+    """Yields arrays (i, j) of pairs of different classes that hold all those with the similarity, some of them repeatedly.
+
+    Sets of size n with Jaccard similarity s or more share one of their n - ceil(s n) + 1 first members in any common
+    order; here the order puts what few of these sets have first, so that what they all have makes no pairs.
+    """
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+    _, member, df = np.unique(flat, return_inverse=True, return_counts=True)
+    member = member.reshape(-1)
+    order = np.lexsort((member, df[member], owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first = order[place < (lengths - np.ceil(similarity * lengths - 1e-9).astype(np.int64) + 1)[owner]]
+    first = first[df[member[first]] > 1]
+    first = first[np.argsort(member[first], kind="stable")]
+    if not len(first):
+        return
+    cuts = np.flatnonzero(np.diff(member[first])) + 1
+    for posting in np.split(owner[first], cuts):
+        for k in range(len(posting) - 1):
+            i, j = posting[k], posting[k + 1 :]
+            j = j[of[j] != of[i]]
+            j = j[np.minimum(lengths[i], lengths[j]) >= similarity * np.maximum(lengths[i], lengths[j]) - 1e-9]
+            if len(j):
+                yield np.full(len(j), i), j
+
+
+def verify(f: Forest, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float, tried: set) -> None:
+    """Adds the links among the pairs (i, j) whose sets have the similarity, where they join two classes."""
+    while True:
+        apart = f.of[i] != f.of[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return
+        # one link of each two classes at a time: if it holds, the others are not needed
+        _, first = np.unique(np.stack([np.minimum(f.of[i], f.of[j]), np.maximum(f.of[i], f.of[j])]), axis=1, return_index=True)
+        good = np.zeros(len(first), bool)
+        for k, (x, y) in enumerate(zip(i[first].tolist(), j[first].tolist())):
+            pair = (x, y) if x < y else (y, x)
+            if pair not in tried:
+                tried.add(pair)
+                good[k] = jaccard(sets[x], sets[y]) >= similarity
+        f.add(i[first][good], j[first][good])
+        i, j = np.delete(i, first), np.delete(j, first)
+
+
+def similar_links(t: pa.Table, radius: int, similarity: float) -> pa.Table:
+    """Edges (u, v) of a spanning forest over the classes `class` of the rows t(id, class, fp, set), all pairs considered."""
+    t = t.sort_by("id")
+    ids, classes = t.column("id").to_numpy(), t.column("class").to_numpy()
+    f, tried = Forest(len(ids), classes), set()
+    if (f.of != f.of[0]).any():
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
+        column = t.column("set")
+        sets = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in range(len(ids))]
+        for i, j in close_pairs(fps, fps, radius, True):
+            verify(f, sets, i, j, similarity, tried)
+        for i, j in prefix_pairs(sets, f.of, similarity) if (f.of != f.of[0]).any() else ():
+            verify(f, sets, i, j, similarity, tried)
+    u, v = np.array(f.edges, np.int64).reshape(-1, 2).T
+    return pa.table({"u": ids[u], "v": ids[v]})
 
 
-def verified_links(members: DataFrame, radius: int, similarity: float, tile: int = SET_TILE) -> DataFrame:
-    """Edges (u, v) of spanning forests of the links within the radius, of members(id long, fp binary, root long, set binary),
-    whose sets have that Jaccard similarity; root is the component by fingerprints alone, and links do not leave it.
+def verified_links(members: DataFrame, sets: DataFrame, radius: int, similarity: float, tile: int, pairs: bool) -> DataFrame:
+    """Edges (u, v) of spanning forests of the links within the groups of members(id, group, class, n), sets(id, fp, set).
 
-    Small components share tasks; a large one is dealt into tiles, each two of which are one task. A link is verified
-    only where it joins two classes.
+    Small groups share tasks. A group of more than tile rows, or more than SET_BYTES of sets, is dealt into tiles: with
+    pairs each two of them are one task, without each tile is one, and holds the group's first member too.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    shared = max(1, math.ceil(members.count() / tile))
-    whole = F.col("tiles") == 1
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = members.join(sizes, "root").select("id", "fp", "set", whole.alias("whole"), F.when(whole, F.pmod(F.xxhash64("root"), F.lit(shared))).otherwise(F.col("root")).alias("g"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("id", "fp", "set", "whole", "g", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("right"))
+    room = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum(F.col("n").cast("long")) * 8 / SET_BYTES)).cast("int")
+    shared = max(1, members.agg(room.alias("k")).first()["k"] or 0)
+    groups = members.groupBy("group").agg(room.alias("tiles"))
+    whole = F.col("tiles") <= 1
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("tiles")).cast("int")
+    all_tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
+    others = F.filter(all_tiles, lambda k: k != own) if pairs else F.when(F.col("id") == F.col("group"), all_tiles).otherwise(F.array(own))
+    dealt = members.join(groups, "group").select("id", "class", whole.alias("whole"), F.when(whole, F.pmod(F.xxhash64("group"), F.lit(shared))).otherwise(F.col("group")).alias("g"), own.alias("own"), F.explode(F.when(whole, F.array(F.lit(0))).otherwise(others)).alias("other"))
+    first, second = (F.least("own", "other"), F.greatest("own", "other")) if pairs else (F.col("other"), F.col("other"))
+    dealt = dealt.select("id", "class", "whole", "g", F.when(F.col("whole"), 0).otherwise(first).alias("a"), F.when(F.col("whole"), 0).otherwise(second).alias("b")).distinct()
 
     def forest(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
-        sets = t.column("set")
-        right = t.column("right").to_numpy()
-        same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
-        left = np.flatnonzero(~right)
-        other = left if same else np.flatnonzero(right)
-        f = Forest(len(ids))
-        read = lambda k: np.frombuffer(sets[int(k)].as_buffer(), np.uint64)
-        for i, j in close_pairs(fps[left], fps[other], radius, same):
-            i, j = left[i], other[j]
-            while len(i):
-                apart = f.of[i] != f.of[j]
-                i, j = i[apart], j[apart]
-                # one link of each two classes at a time: if it holds, the others are not needed
-                _, first = np.unique(np.stack([np.minimum(f.of[i], f.of[j]), np.maximum(f.of[i], f.of[j])]), axis=1, return_index=True)
-                good = np.array([jaccard(read(x), read(y)) >= similarity for x, y in zip(i[first], j[first])], bool)
-                f.add(i[first][good], j[first][good])
-                i, j = np.delete(i, first), np.delete(j, first)
-        u, v = np.array(f.edges, np.int64).reshape(-1, 2).T
-        return pa.table({"u": ids[u], "v": ids[v]})
+        return similar_links(t, radius, similarity)
 
-    return dealt.groupBy("whole", "g", "a", "b").applyInArrow(forest, "u long, v long")
+    return dealt.join(sets, "id").groupBy("whole", "g", "a", "b").applyInArrow(forest, "u long, v long")
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -279,22 +360,44 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 16, tile: int = WIDE_TILE, set_tile: int = SET_TILE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 4, tile: int = SET_TILE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs without all but the smallest doc_id of each group of near-duplicates: documents linked by a Jaccard similarity
-    of their sets of shingles of size words. Candidates are found by fingerprints of 64 * words bits. Of rows that share a
-    doc_id one stays; rows without doc_id stay. Columns are kept."""
+    of their sets of shingles of size words. Of rows that share a doc_id one stays; rows without doc_id stay. Columns are
+    kept. Texts without words are equal to each other and to nothing else.
+
+    Equal sets are one vertex. A vertex first meets the others whose least bucket-mate is the same (its leader), so that
+    its set travels once; the links found contract the buckets, and buckets that then hold several classes not yet
+    compared are compared whole.
+    """
     radius = radius_of(similarity, 64 * words)
-    prints = keep(fingerprints(docs.where("doc_id is not null"), size, words, distinct=True))
-    # a vertex is a fingerprint, by a number of its own: rows that share a doc_id can have several
-    points = keep(prints.groupBy("fp", "pop").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()))
-    roots = keep(components(links(points, 64 * words, radius, tile)).select(F.col("u").alias("id"), "root"))
-    linked = points.join(roots, "id").select("id", "doc_id", "fp", "root")
-    sets = shingle_sets(docs.join(linked.select("doc_id"), "doc_id", "left_semi"), size, words)
-    members = keep(linked.join(sets, ["doc_id", "fp"]).groupBy("id", "fp", "root").agg(F.min("set").alias("set")))
-    near = components(verified_links(members, radius, similarity, set_tile)).select(F.col("u").alias("id"), F.col("root").alias("group"))
-    named = points.join(near, "id", "left").select("fp", "doc_id", F.coalesce("group", "id").alias("group"))
-    named = named.join(named.groupBy("group").agg(F.min("doc_id").alias("least")), "group").select("fp", "least")
-    kept = keep(prints.join(named, "fp").where("doc_id = least").groupBy("doc_id").agg(F.count("*").alias("n")))
+    prints = keep(set_prints(docs.where("doc_id is not null"), size, words, bands, rows))
+    # a vertex is a set, by a number of its own: rows that share a doc_id can have several
+    first = F.min_by(F.struct("n", "fp", "keys"), "doc_id")
+    points = keep(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), first.alias("p")).select(F.monotonically_increasing_id().alias("id"), "doc_id", "digest", "p.*"))
+    dealt = points.select("id", "n", F.explode("keys").alias("key"))
+    heads = dealt.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1")
+    crowded = keep(dealt.join(heads, "key").select("id", "n", "key", "head"))
+    leaders = crowded.groupBy("id").agg(F.min("head").alias("group"), F.first("n").alias("n"))
+    # the leader belongs to its own group too, whatever leader it has itself
+    led = keep(leaders.unionByName(leaders.join(leaders.select(F.col("group").alias("id")).distinct(), "id", "left_semi").select("id", F.col("id").alias("group"), "n")).distinct())
+    linked = points.join(leaders.select("id"), "id", "left_semi").select("id", "doc_id", "digest", "fp")
+    sets = shingle_sets(docs.join(linked.select("doc_id").distinct(), "doc_id", "left_semi"), size)
+    sets = keep(linked.join(sets, ["doc_id", "digest"]).groupBy("id").agg(F.first("fp").alias("fp"), F.first("set").alias("set")))
+    near = keep(verified_links(led.withColumn("class", F.col("id")), sets, radius, similarity, tile, pairs=False))
+    classes = keep(components(near).select(F.col("u").alias("id"), F.col("root").alias("class")))
+    # buckets of several classes, but for those whose members all met in one tile of their leader's group
+    met = led.groupBy("group").agg((F.count("*") <= tile).alias("one"), F.sum(F.col("n").cast("long")).alias("bytes")).where(F.col("one") & (F.col("bytes") * 8 <= SET_BYTES)).select(F.col("group").alias("head"), F.lit(True).alias("met"))
+    named = crowded.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")).join(leaders.select("id", F.col("group").alias("leader")), "id")
+    mixed_ = named.groupBy("key", "head").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(((F.col("id") != F.col("head")) & (F.col("leader") != F.col("head"))).cast("int")).alias("strange")).where("low < high")
+    mixed_ = mixed_.join(met, "head", "left").where("strange > 0 or met is null").select("key")
+    rest = keep(named.join(mixed_, "key").select("id", F.col("key").alias("group"), "class", "n"))
+    edges = near
+    if not rest.isEmpty():
+        edges = near.unionByName(keep(verified_links(rest, sets, radius, similarity, tile, pairs=True)))
+    groups = components(edges).select(F.col("u").alias("id"), F.col("root").alias("group"))
+    named = points.join(groups, "id", "left").select("digest", "doc_id", F.coalesce("group", "id").alias("group"))
+    named = named.join(named.groupBy("group").agg(F.min("doc_id").alias("least")), "group").select("digest", "least")
+    kept = keep(prints.join(named, "digest").where("doc_id = least").groupBy("doc_id").agg(F.count("*").alias("n")))
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
     if not kept.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])

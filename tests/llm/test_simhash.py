@@ -1,7 +1,9 @@
 """SimHash against a plain version that compares every two fingerprints."""
 
 import itertools
+import random
 
+import numpy as np
 import xxhash
 
 from leanprompt.llm import simhash
@@ -93,5 +95,38 @@ def test_links_are_verified_exactly(spark):
             rows.append((100 * g + v, " ".join(ws)))
     want = plain_groups(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for set_tile in (4_096, 3):
-        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, set_tile=set_tile).collect()) == want
+    for tile in (2_048, 3):
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, tile=tile).collect()) == want
+
+
+def test_recall_against_all_pairs_at_every_similarity(spark):
+    """Copies of random texts of many lengths with ever more words replaced: links at 0.8 and above must be found."""
+    r = random.Random(8)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(r.choice([12, 40, 150, 400]))]
+        for v in range(5):
+            ws = list(base)
+            for k in r.sample(range(len(ws)), min(len(ws), r.randrange(0, 1 + len(ws) // 30))):
+                ws[k] = f"x{v}k{k}"
+            rows.append((100 * g + v, " ".join(ws)))
+    want = set(plain_groups(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (2_048, 4):
+        got = {x.doc_id for x in simhash.drop_near_duplicates(docs, tile=tile).collect()}
+        assert want <= got and len(got - want) <= 0.01 * (len(rows) - len(want)), tile
+
+
+def test_a_passage_that_many_share_links_nothing(spark):
+    passage = " ".join(f"p{k}" for k in range(120))
+    rows = [(i, passage + " " + " ".join(f"d{i}w{k}" for k in range(60 + i % 7))) for i in range(150)] + [(1000 + i, "clause " + passage + f" end {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(docs, tile=16).collect()) == plain_groups(rows)
+
+
+def test_prefix_filter_loses_no_pair():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(120)]
+    got = {(min(x, y), max(x, y)) for i, j in simhash.prefix_pairs(sets, np.arange(120), 0.8) for x, y in zip(i.tolist(), j.tolist())}
+    want = {(i, j) for i, j in itertools.combinations(range(120), 2) if simhash.jaccard(sets[i], sets[j]) >= 0.8}
+    assert want <= got
