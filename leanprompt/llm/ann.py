@@ -7,9 +7,10 @@ the two lists (a pivot missing from one stands behind its end) and reranks the n
 For largest inner product, vectors get one more component, sqrt(M^2 - |v|^2) with M the largest norm, by which all have
 the same length and nearness by angle agrees with inner product; queries get 0 there.
 
-Queries and vectors come together in blocks: each task has one block of vectors and one of queries, and gives at most k
-rows a query. Equal vectors of a block are one entry of the index, so that a crowd of copies does not use up the
-candidates; exactly its smallest ids are listed.
+Vectors are dealt by hash into blocks of about BLOCK rows. A task reads a block, indexes it once, and streams the queries
+past it in batches; it gives at most k rows a query. Of each block SHARE of its entries are reranked for a query (k + 1 at
+least, as a query can get no more rows than it has candidates). Equal vectors of a block are one entry of the index, so
+that a crowd of copies does not use up the candidates; exactly its smallest ids are listed.
 
 Pivots are PIVOTS of SAMPLE rows, the first by the hash of vec_id (a documented bound), each the one farthest from those
 before it, so that no crowd takes them all; every row is indexed. Rows with a null id,
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-PIVOTS, PREFIX, SAMPLE = 256, 64, 4_096
-SHARE, LEAST = 0.08, 1_000  # candidates reranked a block: this share of its entries, and at least so many
-BLOCK, QUERIES_A_BLOCK = 8_192, 2_048
+PIVOTS, PREFIX, SAMPLE = 512, 128, 4_096
+SHARE = 0.12  # of a block's entries that are reranked
+BLOCK = 8_192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -85,57 +86,77 @@ class Index:
         return np.flatnonzero(saved >= np.partition(saved, n - want)[n - want])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, sample: int = SAMPLE, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+class Block:
+    """The index of one block of vectors, equal ones as one entry, and the search in it."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray, top: float, prefix: int):
+        order = np.argsort(ids, kind="stable")
+        self.distinct, of = np.unique(rows[order], axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        by = np.argsort(of, kind="stable")  # within an entry by id
+        self.begin = np.searchsorted(of[by], np.arange(len(self.distinct) + 1))
+        self.members = ids[order][by]
+        self.index = Index(self.distinct, pivots, top, prefix)
+
+    def search(self, ids: np.ndarray, rows: np.ndarray, k: int, share: float) -> list[tuple[int, int, float]]:
+        out: list[tuple[int, int, float]] = []
+        want = max(k + 1, math.ceil(share * len(self.distinct)))
+        for q, row, place in zip(ids, rows, self.index.lists(unit(rows, np.zeros(len(rows))))):
+            entries = self.index.candidates(place, want)
+            scores = (self.distinct[entries] * row).sum(1)
+            # entries by score until they hold k others than the query, and all that tie with the last
+            found: list[tuple[float, int]] = []
+            last = None
+            for e in np.argsort(-scores, kind="stable"):
+                if last is not None and scores[e] < last:
+                    break
+                a, b = self.begin[entries[e]], self.begin[entries[e] + 1]
+                found += [(-scores[e], i) for i in self.members[a : min(b, a + k + 1)] if i != q]
+                if last is None and len(found) >= k:
+                    last = scores[e]
+            out += [(q, i, -s) for s, i in sorted(found)[:k]]
+        return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, sample: int = SAMPLE, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for each row of queries(query_id, embedding)."""
     spark = vectors.sparkSession
     facts = vectors.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).alias("top")).first()
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    # written before it is collected, so that the driver gets `sample` rows and not as many from each partition
+    picked = keep(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)).collect()
     n, top = facts["n"], facts["top"] or 0.0
     anchors = np.unique(np.array([r["embedding"] for r in picked]), axis=0) if picked else np.empty((0, 0))
     if len(anchors):
         anchors = spread(unit(anchors, np.sqrt(np.maximum(0, top * top - (anchors * anchors).sum(1)))), pivots)
     shared = spark.sparkContext.broadcast(anchors)
-    vs, qs = max(1, math.ceil(n / block)), max(1, math.ceil(queries.count() / QUERIES_A_BLOCK))
-    deal = lambda df, own, size, other, many: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(size))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<long>")))
-    left = deal(vectors.select(F.col("vec_id").alias("id"), "embedding", F.lit(False).alias("query")), "v", vs, "q", qs)
-    right = deal(queries.select(F.col("query_id").alias("id"), "embedding", F.lit(True).alias("query")), "q", qs, "v", vs)
-
-    def cell(t: pa.Table) -> pa.Table:
-        is_query, ids = t.column("query").to_numpy(), t.column("id").to_numpy()
-        flat = t.column("embedding").combine_chunks()
-        rows = flat.flatten().to_numpy().reshape(len(ids), -1)
-        order = np.flatnonzero(~is_query)
-        order = order[np.argsort(ids[order], kind="stable")]
-        out: list[tuple] = []
-        if len(order):
-            distinct, of = np.unique(rows[order], axis=0, return_inverse=True)
-            of = of.reshape(-1)
-            by = np.argsort(of, kind="stable")  # within an entry by id
-            begin = np.searchsorted(of[by], np.arange(len(distinct) + 1))
-            members = ids[order][by]
-            index = Index(distinct, shared.value, top, prefix)
-            at = np.flatnonzero(is_query)
-            places = index.lists(unit(rows[at], np.zeros(len(at)))) if len(at) else []
-            want = max(least, math.ceil(share * len(distinct)))
-            for q, place in zip(at, places):
-                entries = index.candidates(place, want)
-                scores = (distinct[entries] * rows[q]).sum(1)
-                # entries by score until they hold k others than the query, and all that tie with the last
-                best = np.argsort(-scores, kind="stable")
-                found: list[tuple[float, int]] = []
-                last = None
-                for e in best:
-                    if last is not None and scores[e] < last:
-                        break
-                    a, b = begin[entries[e]], begin[entries[e] + 1]
-                    found += [(-scores[e], i) for i in members[a : min(b, a + k + 1)] if i != ids[q]]
-                    if last is None and len(found) >= k:
-                        last = scores[e]
-                out += [(ids[q], i, -s) for s, i in sorted(found)[:k]]
-        a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(np.array(a, np.int64)), "vec_id": pa.array(np.array(b, np.int64)), "score": pa.array(np.array(c, np.float64))})
-
-    found = left.unionByName(right).groupBy("v", "q").applyInArrow(cell, "query_id long, vec_id long, score double")
+    blocks = max(1, math.ceil(n / block))
+    left = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("v"), F.lit(False).alias("query"), F.col("vec_id").alias("id"), "embedding")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("v"), F.lit(True).alias("query"), F.col("query_id").alias("id"), "embedding")
+    dealt = left.unionByName(right).repartition(blocks, "v").sortWithinPartitions("v", "query")
+
+    def run(batches):
+        at, ids, rows, here = None, [], [], None
+        for batch in batches:
+            vs, is_query, id_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            if not len(vs):
+                continue
+            x = batch.column(3).flatten().to_numpy().reshape(len(vs), -1)
+            cuts = np.flatnonzero((np.diff(vs) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(vs)]):
+                if vs[a] != at:
+                    at, ids, rows, here = vs[a], [], [], None
+                if not is_query[a]:
+                    ids.append(id_[a:b])
+                    rows.append(x[a:b])
+                elif ids or here:
+                    if here is None:
+                        here = Block(np.concatenate(ids), np.concatenate(rows), shared.value, top, prefix)
+                        ids, rows = [], []
+                    found = here.search(id_[a:b], x[a:b], k, share)
+                    q, i, s = zip(*found) if found else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -4,6 +4,9 @@ A text is cut into chunks that overlap. Each chunk is pre-tokenised by itself, i
 the first position of the overlap where both see a pre-token begin, since the pattern looks only ahead, so that from a
 common beginning on both agree. The stitched pre-tokens are encoded by the ranks; decoding concatenates the ids' bytes.
 
+Each long text is one group by a key of its own, also where texts or doc_ids repeat, so that no task gets more than one
+text at a time however many copies there are.
+
 Null texts count as empty: no ids, and the digests of the empty string. Repeated rows give repeated results; null
 doc_ids stay null; an empty table gives an empty result; columns besides doc_id and text are not read.
 """
@@ -121,38 +124,43 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
 
         return step
 
+    def deal():
+        def step(batch: pa.RecordBatch) -> dict:
+            out: dict = {"doc_id": [], "key": [], "k": [], "part": [], "last": []}
+            for i, key, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                for k in range(-(-len(t) // chunk)):
+                    for name, v in (("doc_id", i), ("key", key), ("k", k), ("part", t[k * chunk : (k + 1) * chunk + overlap]), ("last", (k + 1) * chunk >= len(t))):
+                        out[name].append(v)
+            return out
+
+        return step
+
     def split():
         c = codec(path, pattern)
 
         def step(batch: pa.RecordBatch) -> dict:
             parts, lasts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             ends = [np.asarray(pretokens(c.pattern, p, last), "<i4").tobytes() for p, last in zip(parts, lasts)]
-            return {"doc_id": batch.column(0), "digest": batch.column(1), "k": batch.column(2), "part": batch.column(3), "ends": ends}
+            return {"doc_id": batch.column(0), "key": batch.column(1), "k": batch.column(2), "part": batch.column(3), "ends": ends}
 
         return step
 
     def join(whole: pa.Table) -> pa.Table:
         c = codec(path, pattern)
         k = whole.column("k").to_numpy()
-        order = np.argsort(k, kind="stable")
-        copies = int((k == 0).sum())  # equal rows come as equal chunks
+        order = np.argsort(k).tolist()
         parts, ends = whole.column("part").to_pylist(), whole.column("ends").to_pylist()
-        first = [order[i] for i in range(0, len(order), copies)]
-        text = "".join(parts[i][:chunk] for i in first)
-        chunks = [(int(k[i]) * chunk, (np.frombuffer(ends[i], "<i4").astype(np.int64) + int(k[i]) * chunk).tolist()) for i in first]
+        text = "".join(parts[i][:chunk] for i in order)
+        chunks = [(int(k[i]) * chunk, (np.frombuffer(ends[i], "<i4").astype(np.int64) + int(k[i]) * chunk).tolist()) for i in order]
         n, ids, decoded = c.digests(cut(text, stitch(c.pattern, text, chunks)))
-        return pa.table({"doc_id": pa.array([whole.column("doc_id")[0].as_py()] * copies, pa.int64()), "n_tokens": pa.array([n] * copies, pa.int64()), "ids_sha256": [ids] * copies, "decoded_sha256": [decoded] * copies})
+        return pa.table({"doc_id": pa.array([whole.column("doc_id")[0].as_py()], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [ids], "decoded_sha256": [decoded]})
 
     size = F.length("text")
     whole = by_batch(docs.where(size <= chunk), SCHEMA, short)
-    count = F.ceil(size / chunk).cast("int")
-    parts = (
-        docs.where(size > chunk)
-        .select("doc_id", "text", F.sha2("text", 256).alias("digest"), count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
-        .select("doc_id", "digest", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("part"), (F.col("k") == F.col("n") - 1).alias("last"))
-        .repartition("digest", "k")
-    )
-    long = by_batch(parts, "doc_id long, digest string, k int, part string, ends binary", split).groupBy("doc_id", "digest").applyInArrow(join, SCHEMA)
+    # cut in one pass over each text; substring() would scan it from its start for every chunk
+    keyed = docs.where(size > chunk).select("doc_id", F.monotonically_increasing_id().alias("key"), "text")
+    parts = by_batch(keyed, "doc_id long, key long, k int, part string, last boolean", deal, rows=16).repartition("key", "k")
+    long = by_batch(parts, "doc_id long, key long, k int, part string, ends binary", split, rows=64).groupBy("key").applyInArrow(join, SCHEMA)
     return whole.unionByName(long)
 
 

@@ -26,12 +26,18 @@ def fold(column: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)), F.lit(-1))
 
 
+_KEPT: list[str] = []  # folders that keep() wrote
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: the session's spark.checkpoint.dir, or one of our own where unset (tests)."""
+    """The folder all executors see: the session's spark.checkpoint.dir. Where it is unset, a folder of our own in local
+    mode, as in tests, and an error on a cluster, where a machine's own folder would be of no use."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="leanprompt-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -40,13 +46,24 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back with its own schema.
 
-    Survives lost executors, and is compressed and column-pruned, which a checkpoint() file is not.
+    Survives lost executors, and is compressed and column-pruned, which a checkpoint() file is not. release() removes
+    the folders once the results that read them are done with.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes what keep() wrote so far; DataFrames that read it cannot be run any more. Returns how many folders went."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _KEPT:
+        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 10_000) -> DataFrame:
     """mapInArrow with per-task state: make() runs once in a task, its result once for each batch.
 

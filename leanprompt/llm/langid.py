@@ -3,8 +3,8 @@
 For each page and language: log posterior = log prior of the host + log likelihood of the declared markup language + log
 likelihood of the address suffix + tempered log likelihood of the text. The text model is a byte-trigram model of each language
 counted over all labelled documents. Declared languages and suffixes are weighed by how they go with the text's
-verdicts over all pages; the host's prior is its pages' verdicts, smoothed towards its domain's, that towards the
-suffix's and that towards all pages'. Every one of these tables is a grouped aggregation, joined back by its key; a
+verdicts over all pages (their shares of languages against all pages'); the host's prior is its pages' verdicts, smoothed
+towards its domain's and that towards all pages'. Every one of these tables is a grouped aggregation, joined back by its key; a
 page's own verdict is taken out of its priors.
 
 A null or empty html has no text evidence and a null url no host or suffix: what is missing counts nothing, and a page
@@ -141,11 +141,10 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         """log P(value | language) up to a constant of the value: the shares of languages within it, against all pages'."""
         return F.coalesce(F.zip_with(smooth(column, everywhere), everywhere, lambda a, b: F.log(a / b)), F.array_repeat(F.lit(0.0), len(langs)))
 
-    prior = F.transform(smooth("host", smooth("domain", smooth("suffix", everywhere))), lambda p: F.log(p))
-    # the suffix is evidence by itself only where there is no host table to hold it already
+    prior = F.transform(smooth("host", smooth("domain", everywhere)), lambda p: F.log(p))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     text = F.coalesce("scores", F.array_repeat(F.lit(0.0), len(langs)))
-    post = add(add(prior, likelihood("declared")), text)
+    post = add(add(add(prior, likelihood("declared")), likelihood("suffix")), text)
     out = joined.select("key", "page_id", "doc_id", "text_lang", "declared", "suffix", "host", post.alias("post"))
     top = F.array_max("post")
     mass = F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - top))

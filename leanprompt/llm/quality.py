@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy (operator 9).
 
-The text's UTF-8 bytes are cut into overlapping chunks that cover the whole document. Learned filters (one weight for
-each filter, tap and byte value) slide over each chunk; rectified responses are max-pooled over the chunk and combined
+The text's UTF-8 bytes, padded with zeros to whole strides, are cut into overlapping chunks that cover the whole document. Learned filters (one weight for
+each filter, tap and byte value) slide over each chunk by STRIDE bytes; rectified responses are max-pooled over the chunk and combined
 into a chunk logit, and the mean, least and greatest chunk logits of a document into one probability.
 
 Fitting: at most PER_CLASS labelled documents of each class (a documented bound: the first ones by the hash of doc_id,
@@ -31,8 +31,9 @@ FOLDS, HELD = 3, 1
 
 
 def padded(text: str | None) -> np.ndarray:
+    """The text's bytes, with zeros at the end up to whole strides, so that some window holds the last byte too."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    return raw if len(raw) >= TAPS else np.pad(raw, (0, TAPS - len(raw)))
+    return np.pad(raw, (0, max(TAPS - len(raw), (TAPS - len(raw)) % STRIDE)))
 
 
 def responses(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -124,7 +125,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     prior = (n1 + 0.5) / (n0 + n1 + 1)
     total, texts, ys = 0, [], []
     for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        total += len(r["text"] or "")
+        total += len((r["text"] or "").encode())
         if total > max_bytes:
             break
         texts.append(r["text"])

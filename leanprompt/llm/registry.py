@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import ann, bpe, chat, decontaminate, langid, lbl, pii, quality, simhash, toxicity
 
 _MODULES = (toxicity, simhash, langid, decontaminate, lbl, chat, ann, pii, quality, bpe)
 
 
 def queries() -> dict:
-    out = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
-    return out | {"pipeline": corpus_pipeline.run}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    out = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -12,7 +12,7 @@ a fingerprint but no component (null). Repeated rows give repeated results; an e
 To drop near-duplicates (Jaccard similarity of the sets of five-word shingles at least 0.8), population counts skip next to
 nothing: at that similarity the radius is a seventh of the bits. There tiles are formed of documents that share a bucket
 of a min-hash (BANDS keys of ROWS minima each), so that their number grows with the documents; a pair at the similarity
-shares no bucket with probability (1 - s ** ROWS) ** BANDS, 6e-4 at 0.8 and 4e-5 at 0.85. Within a tile nothing is lost:
+shares no bucket with probability (1 - s ** ROWS) ** BANDS, 7e-4 at 0.8 and 1e-5 at 0.85. Within a tile nothing is lost:
 close fingerprints are verified first and join most classes, and all other pairs of different classes that can be similar
 (by a prefix filter, which is exact) are verified by the exact Jaccard similarity of their sets.
 """
@@ -31,8 +31,8 @@ from .common import by_batch, documents, keep
 from .components import components
 
 TILE = 131_072  # fingerprints a tile: two are 4 MB, and larger tiles are copied to fewer pairs and prune better
-SET_TILE, SET_BYTES = 2_048, 32 << 20  # the same where each fingerprint comes with its set of shingles, and bytes of those
-BANDS, ROWS = 40, 8  # of the min-hash
+SET_TILE, SET_BYTES = 2_048, 12 << 20  # the same where each fingerprint comes with its set of shingles, and bytes of those
+BANDS, ROWS = 24, 6  # of the min-hash
 SEED = 5
 BLOCK = 256  # fingerprints a block within a tile
 MANY = 1 << 16  # shingles held at once
@@ -95,12 +95,8 @@ def fingerprints(docs: DataFrame, size: int, words: int) -> DataFrame:
 class Forest:
     """Union-find over positions; vectorised where most new links are within one class already."""
 
-    def __init__(self, n: int, classes: np.ndarray | None = None):
-        """classes: of each position, equal ones are one class to begin with."""
+    def __init__(self, n: int):
         self.of = np.arange(n)
-        if classes is not None:
-            _, first, of = np.unique(classes, return_index=True, return_inverse=True)
-            self.of = first[of.reshape(-1)]
         self.edges: list[tuple[int, int]] = []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -285,47 +281,74 @@ def prefix_pairs(sets: list[np.ndarray], of: np.ndarray, similarity: float):
     if not len(first):
         return
     cuts = np.flatnonzero(np.diff(member[first])) + 1
+    wait, size = [], 0
     for posting in np.split(owner[first], cuts):
+        if len(posting) == 1 or (of[posting] == of[posting[0]]).all():
+            continue
         for k in range(len(posting) - 1):
             i, j = posting[k], posting[k + 1 :]
-            j = j[of[j] != of[i]]
-            j = j[np.minimum(lengths[i], lengths[j]) >= similarity * np.maximum(lengths[i], lengths[j]) - 1e-9]
-            if len(j):
-                yield np.full(len(j), i), j
-
-
-def verify(f: Forest, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float, tried: set) -> None:
-    """Adds the links among the pairs (i, j) whose sets have the similarity, where they join two classes."""
-    while True:
-        apart = f.of[i] != f.of[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            return
-        # one link of each two classes at a time: if it holds, the others are not needed
-        _, first = np.unique(np.stack([np.minimum(f.of[i], f.of[j]), np.maximum(f.of[i], f.of[j])]), axis=1, return_index=True)
-        good = np.zeros(len(first), bool)
-        for k, (x, y) in enumerate(zip(i[first].tolist(), j[first].tolist())):
-            pair = (x, y) if x < y else (y, x)
-            if pair not in tried:
-                tried.add(pair)
-                good[k] = jaccard(sets[x], sets[y]) >= similarity
-        f.add(i[first][good], j[first][good])
-        i, j = np.delete(i, first), np.delete(j, first)
+            j = j[(of[j] != of[i]) & (np.minimum(lengths[i], lengths[j]) >= similarity * np.maximum(lengths[i], lengths[j]) - 1e-9)]
+            wait.append(np.minimum(i, j) * len(sets) + np.maximum(i, j))
+            size += len(j)
+            if size > 1 << 18:
+                yield np.divmod(np.unique(np.concatenate(wait)), len(sets))
+                wait, size = [], 0
+    if size:
+        yield np.divmod(np.unique(np.concatenate(wait)), len(sets))
+
+
+class Classes:
+    """Union-find over positions with the edges that joined two classes; of holds a representative of each position's class
+    as of the last refresh()."""
+
+    def __init__(self, classes: np.ndarray):
+        _, first, of = np.unique(classes, return_index=True, return_inverse=True)
+        self.up = first[of.reshape(-1)].tolist()
+        self.edges: list[tuple[int, int]] = []
+        self.tried: set[int] = set()
+        self.refresh()
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def refresh(self) -> None:
+        self.of = np.fromiter(map(self.find, range(len(self.up))), np.int64, len(self.up))
+
+    def one(self) -> bool:
+        return bool((self.of == self.of[0]).all())
+
+    def verify(self, pairs, sets: list[np.ndarray], similarity: float) -> None:
+        """Joins the classes of those pairs whose sets have the similarity; each pair is tried once."""
+        for i, j in pairs:
+            apart = self.of[i] != self.of[j]
+            before = len(self.edges)
+            for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+                a, b = self.find(x), self.find(y)
+                if a != b and (code := min(x, y) * len(sets) + max(x, y)) not in self.tried:
+                    if jaccard(sets[x], sets[y]) >= similarity:
+                        self.up[max(a, b)] = min(a, b)
+                        self.edges.append((x, y))
+                    else:
+                        self.tried.add(code)
+            if len(self.edges) > before:
+                self.refresh()
 
 
 def similar_links(t: pa.Table, radius: int, similarity: float) -> pa.Table:
     """Edges (u, v) of a spanning forest over the classes `class` of the rows t(id, class, fp, set), all pairs considered."""
-    t = t.sort_by("id")
-    ids, classes = t.column("id").to_numpy(), t.column("class").to_numpy()
-    f, tried = Forest(len(ids), classes), set()
-    if (f.of != f.of[0]).any():
+    ids, at = np.unique(t.column("id").to_numpy(), return_index=True)
+    t = t.take(at).combine_chunks()
+    f = Classes(t.column("class").to_numpy())
+    if not f.one():
         fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
         column = t.column("set")
         sets = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in range(len(ids))]
-        for i, j in close_pairs(fps, fps, radius, True):
-            verify(f, sets, i, j, similarity, tried)
-        for i, j in prefix_pairs(sets, f.of, similarity) if (f.of != f.of[0]).any() else ():
-            verify(f, sets, i, j, similarity, tried)
+        f.verify(close_pairs(fps, fps, radius, True), sets, similarity)
+        if not f.one():
+            f.verify(prefix_pairs(sets, f.of, similarity), sets, similarity)
     u, v = np.array(f.edges, np.int64).reshape(-1, 2).T
     return pa.table({"u": ids[u], "v": ids[v]})
 
@@ -374,23 +397,28 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     # a vertex is a set, by a number of its own: rows that share a doc_id can have several
     first = F.min_by(F.struct("n", "fp", "keys"), "doc_id")
     points = keep(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), first.alias("p")).select(F.monotonically_increasing_id().alias("id"), "doc_id", "digest", "p.*"))
-    dealt = points.select("id", "n", F.explode("keys").alias("key"))
-    heads = dealt.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1")
-    crowded = keep(dealt.join(heads, "key").select("id", "n", "key", "head"))
-    leaders = crowded.groupBy("id").agg(F.min("head").alias("group"), F.first("n").alias("n"))
+    dealt = points.select("id", F.explode("keys").alias("key"))
+    heads = dealt.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1").select("key", "head")
+    crowded = keep(dealt.join(heads, "key").select("id", "key", "head"))
+    leaders = crowded.groupBy("id").agg(F.min("head").alias("group"))
+    linked = keep(points.join(leaders, "id").select("id", "doc_id", "digest", "fp", "n", "group"))
     # the leader belongs to its own group too, whatever leader it has itself
-    led = keep(leaders.unionByName(leaders.join(leaders.select(F.col("group").alias("id")).distinct(), "id", "left_semi").select("id", F.col("id").alias("group"), "n")).distinct())
-    linked = points.join(leaders.select("id"), "id", "left_semi").select("id", "doc_id", "digest", "fp")
+    own = linked.join(linked.select(F.col("group").alias("id")).distinct(), "id", "left_semi").select("id", F.col("id").alias("group"), "n")
+    led = keep(linked.select("id", "group", "n").unionByName(own).distinct())
     sets = shingle_sets(docs.join(linked.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-    sets = keep(linked.join(sets, ["doc_id", "digest"]).groupBy("id").agg(F.first("fp").alias("fp"), F.first("set").alias("set")))
+    sets = keep(linked.select("id", "doc_id", "digest", "fp").join(sets, ["doc_id", "digest"]).select("id", "fp", "set"))
+    if sets.count() > linked.count():  # repeated rows
+        sets = keep(sets.groupBy("id").agg(F.first("fp").alias("fp"), F.first("set").alias("set")))
     near = keep(verified_links(led.withColumn("class", F.col("id")), sets, radius, similarity, tile, pairs=False))
     classes = keep(components(near).select(F.col("u").alias("id"), F.col("root").alias("class")))
     # buckets of several classes, but for those whose members all met in one tile of their leader's group
     met = led.groupBy("group").agg((F.count("*") <= tile).alias("one"), F.sum(F.col("n").cast("long")).alias("bytes")).where(F.col("one") & (F.col("bytes") * 8 <= SET_BYTES)).select(F.col("group").alias("head"), F.lit(True).alias("met"))
-    named = crowded.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")).join(leaders.select("id", F.col("group").alias("leader")), "id")
-    mixed_ = named.groupBy("key", "head").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(((F.col("id") != F.col("head")) & (F.col("leader") != F.col("head"))).cast("int")).alias("strange")).where("low < high")
-    mixed_ = mixed_.join(met, "head", "left").where("strange > 0 or met is null").select("key")
-    rest = keep(named.join(mixed_, "key").select("id", F.col("key").alias("group"), "class", "n"))
+    named = crowded.join(linked.select("id", "n", F.col("group").alias("leader")), "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    strange = F.max(((F.col("id") != F.col("head")) & (F.col("leader") != F.col("head"))).cast("int")).alias("strange")
+    mixed_ = named.groupBy("key", "head").agg(F.min("class").alias("low"), F.max("class").alias("high"), strange).where("low < high")
+    mixed_ = mixed_.join(met, "head", "left").where("strange > 0 or met is null").select("key", "low")
+    # buckets with the same least class are one group, in which a set travels once
+    rest = keep(named.join(mixed_, "key").select("id", F.col("low").alias("group"), "class", "n").distinct())
     edges = near
     if not rest.isEmpty():
         edges = near.unionByName(keep(verified_links(rest, sets, radius, similarity, tile, pairs=True)))

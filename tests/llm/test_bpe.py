@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -57,3 +58,13 @@ def test_odd_rows(spark, whole):
         if row.doc_id is not None:
             check(whole, texts[row.doc_id], row)
     assert bpe.encode_documents(no_documents(spark), PATH).count() == 0
+
+
+def test_a_very_long_text_takes_linear_time(spark, whole):
+    text = "wörter ünd so weiter, 123 " * 400_000
+    docs = spark.createDataFrame([(k, text) for k in range(2)], "doc_id long, text string").repartition(2)
+    began = time.time()
+    got = bpe.encode_documents(docs, PATH).collect()
+    assert time.time() - began < 90
+    assert len(got) == 2 and {r.decoded_sha256 for r in got} == {digest(text.encode())}
+    assert {r.n_tokens for r in got} == {len(whole.encode_ordinary(text))}
