@@ -1,35 +1,39 @@
 """Tool-call linking for chat formatting, in DataFrame functions alone (operator 6).
 
-Calls and results meet by a hash join on (scope, call identifier); calls are ordered topologically by what they depend on; arguments
-are validated against their tool's schema; what comes out is canonical JSON (keys sorted, no white space).
+Calls and results meet by a hash join on (scope, call identifier); calls are ordered topologically by what they depend on;
+arguments, a JSON text, are parsed and validated against their tool's schema; what comes out is canonical JSON (keys
+sorted, no white space).
 
 The `conversations` table has no tool traffic of its own, so the query reads it as such: each user turn is a call of the
-tool "reply" with identifier "conv:turn" and depends on the nearest earlier user turn; each assistant turn is the result
-of the turn before it. System turns are calls of the tool "system", on which the first user turn depends.
-
-Defined results: a null conversation or turn identifies nothing and is left out; a null text is the JSON null and violates the schema
-(required string); empty texts are valid; a repeated (conv_id, turn) counts once, with its smallest row; a result without its call is an orphan
-and is left out of `links` but counted by `orphans`; a call without a result has status "pending". A cycle of dependencies gets no
-level (null) and status "cycle". Empty tables give empty results; further columns are not read.
+tool "reply" with identifier "conv:turn" and depends on the nearest earlier user or system turn, at any distance; each
+assistant turn is the result of the turn before it. System turns are calls of the tool "system". A conversation's turns are
+looked at by runs of RUN turn numbers, so that no task gets all turns of a long one.
+
+Defined results: a null conversation or turn identifies nothing and is left out; a null text is the JSON null and violates
+the schema (required string); empty texts are valid; arguments that are null, no JSON or no object violate it; a repeated
+(conv_id, turn) counts once, with its smallest row; a result without its call has status "orphan" and no tool, turn or
+level; a call without a result has status "pending". A cycle of dependencies gets no level (null) and status "cycle".
+Empty tables give empty results; further columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, table
 
-#: tool -> [(argument, type, required)]
+#: tool -> [(argument, kind, required)]
 SCHEMAS = {"reply": [("text", "string", True), ("turn", "integer", True)], "system": [("text", "string", True), ("turn", "integer", True)]}
+#: how the parsed value's type begins, by kind
+KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
+RUN_LOG2 = 10  # turn numbers of a run: 1,024
 
 
 def quoted(c: Column) -> Column:
-    """A JSON string by JSON's own rules; null is JSON null. Backslash first, then quotes and control characters."""
-    c = c.cast("string")
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    """A JSON string, by Spark's own JSON writer; null is JSON null."""
+    whole = F.to_json(F.struct(c.cast("string").alias("v")), {"ignoreNullFields": "false"})  # {"v":...}
+    return F.substring(whole, 6, F.length(whole) - 6)
 
 
 def canonical(fields: dict[str, Column]) -> Column:
@@ -59,73 +63,92 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ways.groupBy("scope", "id").agg(F.when(F.max(F.col("up").isNotNull()), F.lit(None)).otherwise(F.max("steps")).cast("long").alias("level"))
 
 
-def violations(tool: Column, arguments: dict[str, Column], kinds: dict[str, str]) -> Column:
-    """The schema violations of a call, sorted and joined by commas; "" if it is valid."""
-    found = [F.when(~F.coalesce(tool.isin(*SCHEMAS), F.lit(False)), F.lit("unknown tool"))]
-    for name, schema in SCHEMAS.items():
+def violations(tool: Column, arguments: Column, schemas: dict | None = None) -> Column:
+    """The schema violations of a call whose parsed arguments are a variant, sorted and joined by commas; "" if it is valid."""
+    schemas = SCHEMAS if schemas is None else schemas
+    known = F.coalesce(tool.isin(*schemas), F.lit(False))
+    is_object = F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False))
+    found = [F.when(~known, F.lit("unknown tool")), F.when(known & ~is_object, F.lit("arguments: not an object"))]
+    for name, schema in schemas.items():
+        here = (tool == name) & is_object
         for arg, kind, required in schema:
-            if arg not in arguments:
-                found.append(F.when((tool == name) & F.lit(required), F.lit(f"{arg}: missing")))
-                continue
+            has = F.schema_of_variant(F.try_variant_get(arguments, f"$.{arg}", "variant"))
+            none = has.isNull() | (has == "VOID")
             if required:
-                found.append(F.when((tool == name) & arguments[arg].isNull(), F.lit(f"{arg}: missing")))
-            if kinds[arg] != kind:
-                found.append(F.when((tool == name) & arguments[arg].isNotNull(), F.lit(f"{arg}: not {kind}")))
+                found.append(F.when(here & none, F.lit(f"{arg}: missing")))
+            fits = F.lit(False)
+            for begin in KINDS[kind]:
+                fits = fits | has.startswith(begin)
+            found.append(F.when(here & ~none & ~fits, F.lit(f"{arg}: not {kind}")))
     return F.concat_ws(",", F.array_sort(F.array_compact(F.array(*found))))
 
 
-def link(calls: DataFrame, results: DataFrame, depends: DataFrame) -> DataFrame:
-    """One row for each call of calls(scope, id, tool, text, turn): its level, violations, status and canonical JSON.
+def link(calls: DataFrame, results: DataFrame, depends: DataFrame, schemas: dict | None = None) -> DataFrame:
+    """One row for each call of calls(scope, id, tool, arguments) and each orphan result: level, violations, status and
+    canonical JSON.
 
     results(scope, id, output) are joined by identifier; depends(scope, id, parent) orders.
     """
     order = levels(depends, calls.select("scope", "id"))
-    arguments = {"text": F.col("text"), "turn": F.col("turn")}
-    wrong = violations(F.col("tool"), arguments, {"text": "string", "turn": "integer"})
-    have = F.coalesce(F.col("answered"), F.lit(False))
-    status = F.when(F.col("level").isNull(), "cycle").when(F.col("wrong") != "", "invalid").when(have, "linked").otherwise("pending")
-    rows = calls.join(results.select("scope", "id", "output", F.lit(True).alias("answered")), ["scope", "id"], "left").join(order, ["scope", "id"], "left").withColumn("wrong", wrong)
-    body = canonical({"arguments": canonical({"text": quoted(F.col("text")), "turn": F.coalesce(F.col("turn").cast("string"), F.lit("null"))}), "id": quoted(F.col("id")), "name": quoted(F.col("tool")), "result": F.when(have, quoted(F.col("output"))).otherwise("null")})
-    return rows.select("scope", "id", "turn", "tool", "level", F.col("wrong").alias("violations"), status.alias("status"), body.alias("json"))
+    parsed = calls.select("scope", "id", "tool", F.try_parse_json("arguments").alias("parsed"), F.lit(True).alias("called"))
+    answers = results.select("scope", "id", "output", F.lit(True).alias("answered"))
+    called, have = (F.coalesce(F.col(c), F.lit(False)) for c in ("called", "answered"))
+    rows = parsed.join(answers, ["scope", "id"], "full").join(order, ["scope", "id"], "left")
+    rows = rows.withColumn("wrong", F.when(called, violations(F.col("tool"), F.col("parsed"), schemas)).otherwise(""))
+    status = F.when(~called, "orphan").when(F.col("level").isNull(), "cycle").when(F.col("wrong") != "", "invalid").when(have, "linked").otherwise("pending")
+    body = canonical({"arguments": F.coalesce(F.to_json("parsed"), F.lit("null")), "id": quoted(F.col("id")), "name": quoted(F.col("tool")), "result": F.when(have, quoted(F.col("output"))).otherwise("null")})
+    return rows.select("scope", "id", "tool", "level", F.col("wrong").alias("violations"), status.alias("status"), body.alias("json"))
+
+
+def nearest_earlier(turns: DataFrame) -> DataFrame:
+    """(scope, turn, before) of turns(scope, turn) with an earlier one in their scope: the nearest, at any distance."""
+    run = F.shiftright("turn", RUN_LOG2).alias("run")
+    inside = F.lag("turn").over(Window.partitionBy("scope", "run").orderBy("turn"))
+    here = turns.select("scope", "turn", run).withColumn("inside", inside)
+    ends = turns.groupBy("scope", run).agg(F.max("turn").alias("last"))
+    ends = ends.select("scope", "run", F.lag("last").over(Window.partitionBy("scope").orderBy("run")).alias("outside")).where("outside is not null")
+    firsts = here.where("inside is null").join(ends, ["scope", "run"]).select("scope", "turn", F.col("outside").alias("before"))
+    return here.where("inside is not null").select("scope", "turn", F.col("inside").alias("before")).unionByName(firsts)
 
 
 def traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and dependencies of a conversations table."""
-    rows = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("r")).select("conv_id", "turn", "r.role", "r.text")
-    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
-    calls = rows.where("role in ('user', 'system')").select(F.col("conv_id").alias("scope"), name(F.col("turn")).alias("id"), F.when(F.col("role") == "user", "reply").otherwise("system").alias("tool"), "text", "turn")
-    results = rows.where("role = 'assistant'").select(F.col("conv_id").alias("scope"), name(F.col("turn") - 1).alias("id"), F.col("text").alias("output"))
-    # the nearest earlier call is at most two turns back where turns alternate; each call looks there by equality
-    here = calls.select("scope", "id", "turn")
-    back = [here.select("scope", "id", F.lit(d).alias("d"), F.concat_ws(":", F.col("scope").cast("string"), (F.col("turn") - d).cast("string")).alias("parent")) for d in (1, 2)]
-    near = back[0].unionByName(back[1]).join(here.select("scope", F.col("id").alias("parent")), ["scope", "parent"])
-    return calls, results, near.groupBy("scope", "id").agg(F.min_by("parent", "d").alias("parent"))
+    rows = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("r")).select(F.col("conv_id").alias("scope"), "turn", "r.role", "r.text")
+    name = lambda turn: F.concat_ws(":", F.col("scope").cast("string"), turn.cast("string"))
+    arguments = F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"})
+    of_call = F.col("role").isin("user", "system")
+    calls = rows.where(of_call).select("scope", name(F.col("turn")).alias("id"), F.when(F.col("role") == "user", "reply").otherwise("system").alias("tool"), arguments.alias("arguments"))
+    results = rows.where("role = 'assistant'").select("scope", name(F.col("turn") - 1).alias("id"), F.col("text").alias("output"))
+    near = nearest_earlier(rows.where(of_call).select("scope", "turn"))
+    return calls, results, near.select("scope", name(F.col("turn")).alias("id"), name(F.col("before")).alias("parent"))
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(*traffic(table(spark, sf_dir, "conversations"))).select(F.col("scope").alias("conv_id"), "turn", F.col("id").alias("call_id"), "tool", "level", "violations", "status", "json")
+    out = link(*traffic(table(spark, sf_dir, "conversations")))
+    turn = F.when(F.col("status") != "orphan", F.substring_index("id", ":", -1).cast("long"))
+    return out.select(F.col("scope").alias("conv_id"), turn.alias("turn"), F.col("id").alias("call_id"), "tool", "level", "violations", "status", "json")
 
 
 ORACLE = r"""
-WITH RECURSIVE rows_ AS (
-  SELECT conv_id, turn, min(struct_pack(role := role, text := text)) AS r FROM conversations
-  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-flat AS (SELECT conv_id, turn, r.role AS role, r.text AS text FROM rows_),
-calls AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'reply' ELSE 'system' END AS tool FROM flat WHERE role IN ('user', 'system')),
-near AS (SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM calls a JOIN calls b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 1, a.turn - 2) GROUP BY ALL),
-lv AS (
-  SELECT c.conv_id, c.turn, CAST(0 AS BIGINT) AS level FROM calls c LEFT JOIN near n USING (conv_id, turn) WHERE n.parent IS NULL
-  UNION ALL SELECT n.conv_id, n.turn, lv.level + 1 FROM near n JOIN lv ON lv.conv_id = n.conv_id AND lv.turn = n.parent),
-res AS (SELECT conv_id, turn - 1 AS turn, text AS output, true AS answered FROM flat WHERE role = 'assistant'),
-q AS (
-  SELECT c.*, lv.level, res.output, coalesce(res.answered, false) AS answered,
-    coalesce('"' || replace(replace(replace(replace(replace(c.text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"', 'null') AS qt,
-    coalesce('"' || replace(replace(replace(replace(replace(res.output, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"', 'null') AS qo
-  FROM calls c LEFT JOIN lv USING (conv_id, turn) LEFT JOIN res USING (conv_id, turn))
-SELECT conv_id, turn, conv_id || ':' || turn AS call_id, tool, level, CASE WHEN text IS NULL THEN 'text: missing' ELSE '' END AS violations,
-  CASE WHEN level IS NULL THEN 'cycle' WHEN text IS NULL THEN 'invalid' WHEN answered THEN 'linked' ELSE 'pending' END AS status,
-  '{"arguments":{"text":' || qt || ',"turn":' || turn || '},"id":"' || conv_id || ':' || turn || '","name":"' || tool || '","result":' || CASE WHEN answered THEN qo ELSE 'null' END || '}' AS json
-FROM q
+WITH once AS (
+  SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) = 1),
+asked AS (
+  SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level
+  FROM once WHERE role = 'user' OR role = 'system'),
+answers AS (SELECT conv_id, turn - 1 AS turn, text AS output FROM once WHERE role = 'assistant'),
+paired AS (
+  SELECT conv_id, turn, coalesce(a.role IS NOT NULL, false) AS called, r.conv_id IS NOT NULL AS answered, a.role, a.text, a.level, r.output
+  FROM asked a FULL JOIN (SELECT *, true AS t FROM answers) r USING (conv_id, turn))
+SELECT conv_id, CASE WHEN called THEN turn END AS turn, conv_id || ':' || turn AS call_id,
+  CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'system' END AS tool, CAST(level AS BIGINT) AS level,
+  CASE WHEN called AND text IS NULL THEN 'text: missing' ELSE '' END AS violations,
+  CASE WHEN NOT called THEN 'orphan' WHEN text IS NULL THEN 'invalid' WHEN answered THEN 'linked' ELSE 'pending' END AS status,
+  '{"arguments":' || CASE WHEN called THEN CAST(json_object('text', text, 'turn', turn) AS VARCHAR) ELSE 'null' END
+    || ',"id":' || CAST(to_json(conv_id || ':' || turn) AS VARCHAR)
+    || ',"name":' || CASE role WHEN 'user' THEN '"reply"' WHEN 'system' THEN '"system"' ELSE 'null' END
+    || ',"result":' || CASE WHEN answered THEN coalesce(CAST(to_json(output) AS VARCHAR), 'null') ELSE 'null' END || '}' AS json
+FROM paired
 """
 
 QUERIES = {"op6_tool_calls": op6_tool_calls}

@@ -109,7 +109,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     if not langs:
         return scored.where("false").select("page_id", "doc_id", F.lit("").alias("lang"), F.lit(0.0).alias("posterior"), F.lit("").alias("text_lang"), "declared", "suffix", "host")
     names = F.array(*map(F.lit, langs))
-    best = lambda xs: F.element_at(names, F.array_position(xs, F.array_max(xs)).cast("int"))
+    # without the test of xs, element_at() gives a null place some language
+    best = lambda xs: F.when(xs.isNotNull(), F.element_at(names, F.array_position(xs, F.array_max(xs)).cast("int")))
     page = keep(scored.withColumn("key", F.monotonically_increasing_id()).withColumn("text_lang", best(F.col("scores"))))
 
     own = [F.when(F.col("text_lang") == x, 1).otherwise(0) for x in langs]  # a page's own verdict; null text: none

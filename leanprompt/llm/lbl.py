@@ -50,30 +50,27 @@ def class_of(word: bytes) -> int:
     return TOP + zlib.crc32(word[:3]) % CLASSES
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all rows of docs(text); each task sends a word once a flush."""
+def count_words(docs: DataFrame, room: int = 1 << 20) -> DataFrame:
+    """(word, c) over all rows of docs(text); each task sends what it has counted whenever it holds room words."""
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
-    def make():
+    def run(batches):
         seen: Counter = Counter()
-        done: list[tuple[list, list]] = []
-
-        def step(batch: pa.RecordBatch) -> None:
-            for t in batch.column(0).to_pylist():
-                seen.update(tokens(t))
-            if len(seen) > 1 << 20:
-                flush()
 
-        def flush() -> None:
-            done.append((pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())))
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], schema=schema)
             seen.clear()
+            return out
 
-        def finish() -> dict:
-            flush()
-            return {"word": pa.concat_arrays([x for x, _ in done]), "c": pa.concat_arrays([x for _, x in done])}
-
-        return step, finish
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                seen.update(tokens(t))
+                if len(seen) > room:
+                    yield flush()
+        if seen:
+            yield flush()
 
-    return by_task(docs.select("text"), "word binary, c long", make).groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Words:
@@ -238,7 +235,9 @@ class Scorer:
 def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", (fold("doc_id", FOLDS) == HELD).alias("held_out"))
     counts = keep(count_words(docs.where(~F.col("held_out"))))
-    exact = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(TOP_EXACT).collect()]
+    # written before it is collected, so that the driver gets TOP_EXACT rows and not as many from each partition
+    exact = [(bytes(r["word"]), r["c"]) for r in keep(counts.orderBy(F.desc("c"), "word").limit(TOP_EXACT)).collect()]
+    exact.sort(key=lambda x: (-x[1], x[0]))
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = facts["n"], facts["v"]
     # what the TOP words leave, by class: crc32 of the first three bytes, in SQL as in class_of

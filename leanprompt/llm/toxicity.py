@@ -1,9 +1,12 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text (operator 1).
 
-The channel writes letters as look-alike digits and signs, spreads words over single characters, and repeats letters.
-Spans that such a channel could have made are lattices: each character stands for itself, for the letters it looks
-like, or (separators, repetitions) for nothing. A Viterbi pass under a character trigram model, whose counts are taken
-over all texts, picks the likeliest reading; other text has one path only and is left alone.
+The channel writes letters as look-alike digits and signs, spreads words over single characters with separators between,
+and repeats letters. What it could have made are ambiguous stretches: look-alikes in or beside letters (runs of up to
+RUN; longer runs are numbers or rules), a letter three times or more (and, in a word with either, a
+letter twice), and four or more single characters spread out (three, if by signs and not spaces). They are lattices: each
+character stands for itself, for the letters it looks like, or (separators, repetitions) for nothing. A Viterbi pass under
+a character trigram model, whose counts are taken over all texts, picks the likeliest reading. Two plain letters in a row
+leave one state, so a word of any length is decoded stretch by stretch, exactly and in time in proportion to its length.
 
 The restored text is scored by a logistic model over the presence of words and word beginnings. It is fitted on at most
 PER_CLASS labelled documents of each class (the first by the hash of doc_id outside the held-out fold; at most
@@ -38,19 +41,23 @@ PREFIXES = (4, 5, 6)
 MAX_FEATURES = 512
 SURE = 30  # sampled documents of label 1 that a feature needs to speak by itself
 
-_LEET = "013457894@$!|+€"
-#: Spans the channel could have made: letters and look-alikes mixed; four or more single characters spread out; a letter three times.
-SUSPECT = re.compile(
-    rf"(?<![^\W_])(?:(?:[^\W\d_]|[{_LEET}])(?P<sep>[ ._*-]))(?:(?:[^\W\d_]|[{_LEET}])(?P=sep)){{2,62}}(?:[^\W\d_]|[{_LEET}])(?![^\W_])"
-    rf"|[{_LEET}]{{0,4}}[^\W\d_]{{1,24}}(?:[{_LEET}]{{1,3}}[^\W\d_]{{1,24}}){{1,8}}[{_LEET}]{{0,2}}"
-    rf"|(?<![\w@$])[{_LEET}]{{1,2}}[^\W\d_]{{2,24}}"
-    rf"|[^\W\d_]{{1,24}}[013457@$]{{1,2}}(?![\w@$])"
-    r"|[^\W\d_]*?(?P<run>[^\W\d_])(?P=run){2,}[^\W\d_]*"
-)
+RUN = 4
+_LEET = "01345789@$!|+€"
+_LAST = "013457@$"  # may end a word; the other signs there are punctuation
+_ONE = rf"(?:[^\W\d_]|[{_LEET}])"
+#: Single characters spread out; a word with its look-alikes; what is ambiguous in one.
+SPREAD = re.compile(rf"(?<![^\W_]){_ONE}(?:(?:[ ._*-]{{1,3}}{_ONE}(?![^\W_])){{3,}}|(?:[._*-]{{1,3}}{_ONE}(?![^\W_])){{2}})")
+TOKEN = re.compile(rf"{_ONE}+")
+UNSURE = re.compile(rf"[{_LEET}]+|([^\W\d_])\1+", re.I)
 WORD = re.compile(r"[^\W\d_]+")
-_CLASS = np.zeros(256, np.uint8)  # of a character: 1 letter, 2 look-alike, 4 separator, 8 white space, 16 look-alike that may end a word
-for _c in range(256):
-    _CLASS[_c] = chr(_c).isalpha() + 2 * (chr(_c) in _LEET) + 4 * (chr(_c) in " ._*-") + 8 * chr(_c).isspace() + 16 * (chr(_c) in "013457@$")
+
+
+def _class(c: str) -> int:
+    """1 letter, 2 look-alike, 4 separator, 8 white space, 16 look-alike that may end a word, 32 letter or digit."""
+    return c.isalpha() + 2 * (c in _LEET) + 4 * (c in " ._*-") + 8 * c.isspace() + 16 * (c in _LAST) + 32 * c.isalnum()
+
+
+_CLASS = np.array([_class(chr(c)) for c in range(256)], np.uint8)
 
 _CODES = bytes(b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256))
 
@@ -92,16 +99,15 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(tri)
 
 
-def readings(span: str) -> list[list[tuple[str, float]]]:
+def readings(span: str, spread: bool = False) -> list[list[tuple[str, float]]]:
     """The lattice of a span: for each character or run its readings ('' for none) with the channel's log-probability."""
-    spread = len(span) > 6 and all(c in " ._*-" for c in span[1::2])
     out = []
-    for c, run in groupby(span.lower()):
+    for c, run in groupby(span.lower(), lambda x: " " if spread and x in " ._*-" else x):
         k = len(list(run))
-        if spread and c in " ._*-":
+        if spread and c == " ":
             arcs = [("", COST["gone"]), (" ", COST["odd"])]
         elif c.isalpha():
-            arcs = [(c * k, 0.0)] if k < 3 else [(c, COST["kept"]), (c * 2, COST["kept"]), (c * k, COST["odd"])]
+            arcs = [(c, 0.0)] if k == 1 else [(c, COST["look"]), (c * 2, 0.0)] if k == 2 else [(c, COST["kept"]), (c * 2, COST["kept"]), (c * k, COST["odd"])]
         elif c in LOOKS:
             arcs = [(x * m, COST["look"]) for x in LOOKS[c] for m in {1, min(k, 2)}] + [(c * k, COST["odd"])]
         else:
@@ -110,10 +116,11 @@ def readings(span: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(span: str, lm: np.ndarray) -> str:
-    """The likeliest reading of a span by Viterbi over (two last symbols)."""
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for arcs in readings(span):
+def decode(span: str, lm: np.ndarray, before: str = "", after: str = "", spread: bool = False) -> str:
+    """The likeliest reading of a span between plain letters by Viterbi over (two last symbols)."""
+    first = (0, 0, *map(symbol, before.lower()))[-2:]
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {first: (0.0, None)}
+    for arcs in readings(span, spread):
         nxt: dict = {}
         for (a, b), (score, back) in states.items():
             for text, cost in arcs:
@@ -125,55 +132,99 @@ def decode(span: str, lm: np.ndarray) -> str:
                 if (x, y) not in nxt or s > nxt[x, y][0]:
                     nxt[x, y] = (s, (text, back))
         states = nxt
-    _, back = max(((s + lm[a, b, 0], p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
+    best, found = -math.inf, None
+    rest = [*map(symbol, after.lower())] if len(after) > 1 else [*map(symbol, after.lower()), 0]
+    for (x, y), (s, back) in states.items():
+        for z in rest:
+            s += lm[x, y, z]
+            x, y = y, z
+        if s > best:
+            best, found = s, back
     parts = []
-    while back:
-        parts.append(back[0])
-        back = back[1]
+    while found:
+        parts.append(found[0])
+        found = found[1]
     return "".join(reversed(parts))
 
 
 class Restorer:
     def __init__(self, lm: np.ndarray):
-        self.lm, self.known = lm, {}
+        self.lm = lm
+        self.known: dict[tuple, str] = {}
 
-    def span(self, m: re.Match) -> str:
-        s = m[0]
-        if s not in self.known:
-            if len(self.known) > 1 << 17:
+    def reading(self, span: str, before: str = "", after: str = "", spread: bool = False) -> str:
+        key = (span, before, after, spread)
+        if key not in self.known:
+            if len(self.known) > 1 << 17:  # a bound on memory, not on what is decoded
                 self.known.clear()
-            self.known[s] = decode(s, self.lm)
-        return self.known[s]
+            self.known[key] = decode(span, self.lm, before, after, spread)
+        return self.known[key]
+
+    def spread(self, m: re.Match) -> str:
+        return self.reading(m[0], spread=True) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0].translate(_NO_SEPARATORS)) else m[0]
+
+    def token(self, m: re.Match) -> str:
+        """The word with its ambiguous stretches decoded; stretches with fewer than two plain letters between are one."""
+        t = m[0]
+        found = []
+        for u in UNSURE.finditer(t):
+            a, b = u.span()
+            if u[1] or not (b - a > RUN or (a == 0 and b == len(t)) or (b == len(t) and not all(c in _LAST for c in u[0]))):
+                found.append((a, b, not u[1] or b - a > 2))
+        if not any(sure for _, _, sure in found):
+            return t
+        places: list[list[int]] = []
+        for a, b, _ in found:
+            if places and a - places[-1][1] < 2:
+                places[-1][1] = b
+            else:
+                places.append([a, b])
+        out, done = [], 0
+        for a, b in places:
+            out += [t[done:a], self.reading(t[a:b], t[max(0, a - 2) : a], t[b : b + 2])]
+            done = b
+        return "".join([*out, t[done:]])
 
     def text(self, text: str) -> str:
-        """The text with suspect spans decoded; vector tests find the few regions between white space that can hold any."""
+        """The text with ambiguous stretches decoded; vector tests find the few regions between white space that can hold any."""
         out, done = [], 0
         for a, b in suspects(text):
-            out += [text[done:a], SUSPECT.sub(self.span, text[a:b])]
+            out += [text[done:a], TOKEN.sub(self.token, SPREAD.sub(self.spread, text[a:b]))]
             done = b
         return "".join([*out, text[done:]]) if done else text
 
 
+_NO_SEPARATORS = dict.fromkeys(map(ord, " ._*-"))
+
+
 def suspects(text: str) -> list[tuple[int, int]]:
     """Regions, bounded by white space, with a look-alike beside a letter, a letter three times, or single characters spread out."""
     if len(text) < 3:
         return []
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    k = np.where(c < 256, _CLASS[np.minimum(c, 255)], 1)
-    letter, one = (k & 1).astype(bool), ((k & 4) == 0)
-    leet = (k & 2).astype(bool)
+    k = _CLASS[np.minimum(c, 255)]
+    wide_ = np.flatnonzero(c > 255)
+    if len(wide_):
+        values, of = np.unique(c[wide_], return_inverse=True)
+        k[wide_] = np.array([_class(chr(v)) for v in values], np.uint8)[of.reshape(-1)]
+    letter, leet = (k & 1).astype(bool), (k & 2).astype(bool)
     marks = np.zeros(len(c), bool)
     marks[:-1] |= leet[:-1] & letter[1:]
     marks[1:] |= (k[1:] & 16).astype(bool) & letter[:-1]
-    same = c[1:] == c[:-1]
-    marks[2:] |= same[1:] & same[:-1] & letter[2:]
+    low = c | np.where(letter & (c < 128), 32, 0).astype(np.uint32)
+    same = (low[1:] == low[:-1]) & letter[1:]
+    marks[2:] |= same[1:] & same[:-1]
     wide = np.zeros(len(c), bool)
-    if len(c) >= 7:
-        s = (c[1:-5] == c[3:-3]) & (c[3:-3] == c[5:-1]) & ~one[1:-5]
-        s &= one[:-6] & one[2:-4] & one[4:-2] & one[6:]
-        at = np.flatnonzero(s)
-        for d in range(7):
-            wide[at + d] = True
+    alnum = np.pad((k & 32).astype(bool), 1)
+    one = np.flatnonzero((letter | leet) & ~alnum[:-2] & ~alnum[2:])
+    if len(one) > 2:
+        gaps = np.diff(one)
+        between = np.cumsum((k & 4) > 0)
+        near = np.concatenate(([False], (gaps > 1) & (gaps <= 4) & (between[one[1:] - 1] - between[one[:-1]] == gaps - 1), [False]))
+        begins, ends = np.flatnonzero(~near[:-1] & near[1:]), np.flatnonzero(near[:-1] & ~near[1:])
+        for a, b in zip(begins, ends):
+            if b - a >= 2:
+                wide[one[a] : one[b] + 1] = True
     if not marks.any() and not wide.any():
         return []
     gap = (k & 8).astype(bool) & ~wide

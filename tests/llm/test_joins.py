@@ -1,5 +1,6 @@
 """Decontamination against every stretch, tool calls against SQL, and the pipeline against its parts."""
 
+import json
 import random
 
 import duckdb
@@ -113,16 +114,43 @@ def test_tool_calls_match_sql(spark):
 
 
 def test_tool_calls_odd_rows(spark):
-    calls = spark.createDataFrame([(1, "a", "reply", "x", 0), (1, "b", "reply", None, 1), (1, "c", "reply", 'q"\\\n', 2), (1, "d", "nosuch", "x", 3)], "scope long, id string, tool string, text string, turn long")
+    args = '{"turn":0,"text":"x"}'
+    calls = spark.createDataFrame([(1, "a", "reply", args), (1, "b", "reply", '{"text":null,"turn":1}'), (1, "c", "reply", args), (1, "d", "nosuch", args), (1, "e", "reply", '{"text":5,"turn":"x"}'), (1, "f", "reply", "no json"), (1, "g", "reply", None), (1, "h", "reply", "[1]")], "scope long, id string, tool string, arguments string")
     results = spark.createDataFrame([(1, "a", "out"), (1, "zz", "orphan")], "scope long, id string, output string")
     depends = spark.createDataFrame([(1, "b", "a"), (1, "c", "d"), (1, "d", "c")], "scope long, id string, parent string")
     got = {r.id: r for r in chat.link(calls, results, depends).collect()}
     assert [(got[k].level, got[k].status) for k in "abcd"] == [(0, "linked"), (1, "invalid"), (None, "cycle"), (None, "cycle")]
     assert got["a"].json == '{"arguments":{"text":"x","turn":0},"id":"a","name":"reply","result":"out"}'
-    assert got["d"].violations == "unknown tool"
+    assert {k: got[k].violations for k in "bdefgh"} == {"b": "text: missing", "d": "unknown tool", "e": "text: not string,turn: not integer", "f": "arguments: not an object", "g": "arguments: not an object", "h": "arguments: not an object"}
+    assert (got["zz"].status, got["zz"].tool, got["zz"].level) == ("orphan", None, None)
     assert chat.link(calls.limit(0), results.limit(0), depends.limit(0)).count() == 0
 
 
+def test_tool_calls_of_odd_conversations(spark, tmp_path):
+    every = "".join(map(chr, range(1, 300))) + "\u2028\U0001f600"
+    long = "long text " * 200_000
+    rows = [(1, 0, "system", "s"), (1, 3, "user", every), (1, 4, "assistant", every), (1, 5, "assistant", "late"), (1, 5_000, "user", long), (1, 5_001, "assistant", ""), (1, 5_001, "assistant", ""), (2, 0, "user", None), (2, 1, "assistant", None), (2, 9, "assistant", "orphan"), (None, 1, "user", "x"), (3, None, "user", "x"), (4, 0, None, "x"), (5, 0, "user", "b"), (5, 0, "user", "a")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id long, turn long, role string, text string, id string, level string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(chat.ORACLE)
+    got = chat.op6_tool_calls(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+    at = {(r.conv_id, r.turn): r for r in got}
+    assert json.loads(at[1, 3].json)["arguments"]["text"] == every == json.loads(at[1, 3].json)["result"]
+    assert (at[1, 5_000].level, at[5, 0].json.count('"a"')) == (2, 1)
+    assert [r.status for r in got if r.turn is None] == ["orphan", "orphan"]
+
+
+def test_every_earlier_turn_is_found_across_runs(spark):
+    r = random.Random(3)
+    turns = {(s, r.randrange(-5_000, 20_000)) for s in (1, 2) for _ in range(60)}
+    got = {(x.scope, x.turn): x.before for x in chat.nearest_earlier(spark.createDataFrame(sorted(turns), "scope long, turn long")).collect()}
+    want = {(s, t): max((u for v, u in turns if v == s and u < t), default=None) for s, t in turns}
+    assert got == {k: v for k, v in want.items() if v is not None}
+
+
 def test_pipeline(spark):
     docs = corpus_pipeline.table(spark, DIR, "documents")
     kept, counts = docs, []
