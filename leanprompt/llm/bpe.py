@@ -78,7 +78,7 @@ class Codec:
 
     def piece(self, piece: str) -> list[int]:
         ids = self.core._encode_single_piece(piece)
-        if len(self.cache) >= 1 << 19:  # a bound on memory, not on what is encoded
+        if len(self.cache) >= 1 << 17:  # a bound on memory, not on what is encoded
             self.cache.clear()
         if len(piece) <= 64:
             self.cache[piece] = ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,6 +27,15 @@ def fold(column: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)), F.lit(-1))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a Python worker lives through many tasks, and would keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _KEPT: list[str] = []  # folders that keep() wrote
 
 
@@ -78,6 +88,7 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
                 step = step or make()
                 for a in range(0, batch.num_rows, rows):
                     yield _batch(step(batch.slice(a, rows)), arrow)
+                trim()
 
     return df.mapInArrow(run, schema)
 
@@ -95,6 +106,7 @@ def by_task(df: DataFrame, schema: str, make: Callable[[], tuple[Callable, Calla
                 step(batch)
         if finish is not None:
             yield _batch(finish(), arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, documents
+from .common import by_batch, documents, trim
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "ssn", "key", "login")
@@ -163,6 +163,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(s):
+        trim()
         return s.map(lambda t: t if t is None else redact(t))
 
     out = docs.withColumn("text", clean("text"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, documents, keep
+from .common import by_batch, documents, keep, trim
 from .components import components
 
 TILE = 131_072  # fingerprints a tile: two are 4 MB, and larger tiles are copied to fewer pairs and prune better
@@ -250,17 +250,18 @@ def set_prints(docs: DataFrame, size: int, words: int, bands: int, rows: int) ->
     return by_batch(docs.select("doc_id", "text"), "doc_id long, digest binary, n int, fp binary, keys array<long>", make, rows=2_500)
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, digest of the set and the sorted distinct shingle hashes (8 bytes each) of docs(doc_id, text)."""
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """id, fp and the sorted distinct shingle hashes (8 bytes each) of rows(id, digest, fp, text) whose set has that digest."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            sets = [np.unique(shingle_hashes((t or "").encode(), size)).tobytes() for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "digest": [xxhash.xxh3_128_digest(x) for x in sets], "set": sets}
+            sets = [np.unique(shingle_hashes((t or "").encode(), size)).tobytes() for t in batch.column(3).to_pylist()]
+            fits = [k for k, (x, d) in enumerate(zip(sets, batch.column(1).to_pylist())) if xxhash.xxh3_128_digest(x) == d]
+            return {"id": batch.column(0).take(pa.array(fits, pa.int64())), "fp": batch.column(2).take(pa.array(fits, pa.int64())), "set": [sets[k] for k in fits]}
 
         return step
 
-    return by_batch(docs.select("doc_id", "text"), "doc_id long, digest binary, set binary", make, rows=1_000)
+    return by_batch(rows.select("id", "digest", "fp", "text"), "id long, fp binary, set binary", make, rows=1_000)
 
 
 def prefix_pairs(sets: list[np.ndarray], of: np.ndarray, similarity: float):
@@ -371,9 +372,12 @@ def verified_links(members: DataFrame, sets: DataFrame, radius: int, similarity:
     dealt = dealt.select("id", "class", "whole", "g", F.when(F.col("whole"), 0).otherwise(first).alias("a"), F.when(F.col("whole"), 0).otherwise(second).alias("b")).distinct()
 
     def forest(t: pa.Table) -> pa.Table:
-        return similar_links(t, radius, similarity)
+        try:
+            return similar_links(t, radius, similarity)
+        finally:
+            trim()
 
-    return dealt.join(sets, "id").groupBy("whole", "g", "a", "b").applyInArrow(forest, "u long, v long")
+    return keep(dealt).join(sets, "id").groupBy("whole", "g", "a", "b").applyInArrow(forest, "u long, v long")
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -399,14 +403,14 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     points = keep(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), first.alias("p")).select(F.monotonically_increasing_id().alias("id"), "doc_id", "digest", "p.*"))
     dealt = points.select("id", F.explode("keys").alias("key"))
     heads = dealt.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1").select("key", "head")
-    crowded = keep(dealt.join(heads, "key").select("id", "key", "head"))
+    # by sort and merge at every size: broadcast while small, the heads would hide what this join moves at scale
+    crowded = keep(dealt.join(heads.hint("merge"), "key").select("id", "key", "head"))
     leaders = crowded.groupBy("id").agg(F.min("head").alias("group"))
     linked = keep(points.join(leaders, "id").select("id", "doc_id", "digest", "fp", "n", "group"))
     # the leader belongs to its own group too, whatever leader it has itself
     own = linked.join(linked.select(F.col("group").alias("id")).distinct(), "id", "left_semi").select("id", F.col("id").alias("group"), "n")
     led = keep(linked.select("id", "group", "n").unionByName(own).distinct())
-    sets = shingle_sets(docs.join(linked.select("doc_id").distinct(), "doc_id", "left_semi"), size)
-    sets = keep(linked.select("id", "doc_id", "digest", "fp").join(sets, ["doc_id", "digest"]).select("id", "fp", "set"))
+    sets = keep(shingle_sets(docs.select("doc_id", "text").join(linked.select("doc_id", "id", "digest", "fp"), "doc_id"), size))
     if sets.count() > linked.count():  # repeated rows
         sets = keep(sets.groupBy("id").agg(F.first("fp").alias("fp"), F.first("set").alias("set")))
     near = keep(verified_links(led.withColumn("class", F.col("id")), sets, radius, similarity, tile, pairs=False))
