@@ -27,7 +27,7 @@ WASTE = [
     ("urgency", r"(?i)\b(asap|urgent)\b", 6, 6),
 ]
 SPANS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+"), ("number", r"[0-9]+"), ("caps", r"[A-Z][A-Z]+"), ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("snake", r"[a-z]+_[a-z]+")]
-ZERO_WIDTH = "[​-‏⁠﻿�]"
+ZERO_WIDTH = "[\u200b-\u200f\u2060\ufeff\ufffd]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
 

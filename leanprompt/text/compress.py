@@ -177,9 +177,10 @@ def names(text: str) -> list[str]:
         w = m[0].removesuffix(".")
         if len(w) < 2 or not re.search("[A-Za-z]", w) or w.lower() in NOT_NAMES:
             continue
-        before = plain[: m.start()]
-        lead = before.rstrip()
-        opens = not lead or "\n" in before[len(lead) :] or lead[-1] in ".!?:;-*•([\"'“‘"
+        at = m.start()
+        while at and plain[at - 1].isspace():
+            at -= 1
+        opens = not at or "\n" in plain[at : m.start()] or plain[at - 1] in ".!?:;-*•([\"'“‘"
         if re.search("[a-z][A-Z]", w) or (not shouts and (re.fullmatch("[A-Z]{2,}[A-Z0-9+#-]*", w) or (re.match("[A-Z][a-z]", w) and not opens))):
             found[w] = None
     return list(found)
@@ -355,7 +356,7 @@ def corrected(text: str, words: Dictionary, preserve: frozenset[str] = frozenset
             def one(m: re.Match) -> str:
                 w = m[0]
                 low = w.lower()
-                name = any(c.isupper() for c in w[1:]) or (w[0].isupper() and not re.search(r"(?:^|[.!?\n]\s*)\Z", m.string[: m.start()]))
+                name = any(c.isupper() for c in w[1:]) or (w[0].isupper() and not re.search(r"(?:^|[.!?\n]\s*)\Z", m.string[max(0, m.start() - 40) : m.start()]))
                 new = None if low in preserve or name else words.correct(low)
                 return w if not new else new[0].upper() + new[1:] if w[0].isupper() else new
 

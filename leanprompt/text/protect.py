@@ -67,6 +67,12 @@ CODE_LINE = re.compile(
 PROSE_LINE = re.compile(r"^[^\n]*[a-z]{3,}\s+[a-z]{3,}\s+[a-z]{3,}[^\n]*[.!?]?\s*\Z", _I)
 LEAST_LINES = 2
 
+#: What a text must hold for a pattern to be worth a search; several patterns take time with the square of a long text.
+NEEDED = {
+    "fenced-code": "```", "fenced-code-tilde": "~~~", "triple-single": "'''", "triple-double": '"""', "inline-code": "`", "traceback": "Traceback", "url": "://", "bare-domain": ".", "email": "@",
+    "windows-path": ":\\", "unix-path": "/", "relative-path": "/", "filename": ".", "command-chain": ";", "dot-name": ".", "double-quoted": '"', "smart-quoted": "“", "single-quoted": "'",
+    "handlebars": "{{", "shell-interp": "${", "windows-env": "%", "shell-var": "$", "cli-flag": "-", "uuid": "-", "version": ".", "tag": "<", "call": "(", "dotted-path": ".", "snake-case": "_", "null-device": ">",
+}
 _COMPILED = [(name, re.compile(p, flags)) for name, p, flags in PATTERNS]
 _OPTION = re.compile(r"[ \t]*[\"'“‘]?(?:\(([A-Za-z])\)|([A-Za-z])[).:])[ \t]+\S")
 _OPTION_INSIDE = re.compile(r"\s([\"'“‘]?\(?[A-Za-z]\)[ \t]+\S)")
@@ -151,7 +157,8 @@ def mask(text: str | None) -> Mask:
     for step in steps:
         step(m)
     for name, pattern in _COMPILED:
-        m.hide(name, pattern)
+        if NEEDED.get(name, "") in m.masked:
+            m.hide(name, pattern)
     return m
 
 
