@@ -6,17 +6,6 @@ from leanprompt.functions.dialect import Dialect
 from leanprompt.functions.measures import js_round, token_estimate, words
 
 SHORT, LONG = 8, 8_000
-#: Ordered; the first that matches names the category.
-CATEGORIES = [
-    ("code", r"(?i)\b(function|python|javascript|sql|regex|bug|compile)\b"),
-    ("math", r"(?i)\b(equation|integral|derivative|solve|theorem)\b"),
-    ("translation", r"(?i)\b(translate|translation)\b"),
-    ("summary", r"(?i)\b(summari[sz]e|summary|shorten)\b"),
-    ("writing", r"(?i)\b(write|essay|story|poem|email|letter)\b"),
-    ("planning", r"(?i)\b(plan|schedule|itinerary|steps)\b"),
-    ("list", r"\|"),
-    ("factual", r"(?i)\b(what|who|when|where|why|how|is)\b"),
-]
 #: What a rule counts, points a hit, most points.
 WASTE = [
     ("greeting", r"(?i)\b(hello|hi there|good morning)\b", 5, 15),
@@ -46,39 +35,10 @@ def reason(d: Dialect) -> str:
     return f"case when text is null or {d.trim('text')} = '' then 'empty' when length(text) < {SHORT} then 'too_short' when length(text) > {LONG} then 'too_long' when {d.trim(sanitised(d, 'text'))} = '' then 'empty_after_sanitise' else 'kept' end"
 
 
-def token_estimate_documents(d: Dialect) -> str:
-    return f"select doc_id, {token_estimate(d, 'text')} as tokens from documents"
-
-
 def sanitise_counts(d: Dialect) -> str:
     return f"select doc_id, length(text) - length({sanitised(d, 'text')}) as removed, md5({sanitised(d, 'text')}) as clean_md5 from documents"
 
 
-def reject_reasons(d: Dialect) -> str:
-    return f"with r as (select source, {reason(d)} as reason from documents) select source, reason, count(*) as n from r group by source, reason"
-
-
-def dedupe_first_wins(d: Dialect) -> str:
-    return f"with k as (select doc_id, md5({dedupe_key(d, 'text')}) as key from documents where {reason(d)} = 'kept') select key, min(doc_id) as doc_id, count(*) as n from k group by key"
-
-
-def task_category(d: Dialect) -> str:
-    whens = " ".join(f"when {d.has('text', p)} then '{c}'" for c, p in CATEGORIES)
-    return f"with c as (select lang, case {whens} else 'other' end as category from documents) select lang, category, count(*) as n from c group by lang, category"
-
-
-def derived_flags(d: Dialect) -> str:
-    return f"""select doc_id, {d.has('text', '[{};]')} as has_code, {d.has('text', '[0-9] *[=+*/] *[0-9]')} as has_math, {d.has('text', 'https?://')} as has_url, contains(text, chr(10)) as is_multiline, {words(d, 'text')} as word_count from documents"""
-
-
-def redact_pii(d: Dialect) -> str:
-    x = d.replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "[EMAIL]")
-    x = d.replace(x, r"\b(AKIA[0-9A-Z]+|sk-[A-Za-z0-9]+)\b", "[API_KEY]")
-    x = d.replace(x, r"\b[0-9]{13,19}\b", "[CARD]")
-    x = d.replace(x, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[SSN]")
-    return f"with r as (select doc_id, text, {x} as clean from documents) select doc_id, md5(clean) as clean_md5, text <> clean as changed from r"
-
-
 def label_audit(d: Dialect) -> str:
     return "select quality, toxic, count(*) as n, count(distinct doc_id) as docs from labels group by quality, toxic"
 
@@ -96,26 +56,10 @@ def script_ratio(d: Dialect) -> str:
     return f"with c as (select doc_id, {d.hits('text', latin)} as latin, {d.hits('text', chr(92) + 'p{L}')} as letters from documents) select doc_id, latin, letters, case when letters = 0 then 0.0 else round(1.0 * latin / letters, 6) end as ratio from c".replace("0.0 else", "cast(0 as double) else cast(").replace(", 6) end", ", 6) as double) end")
 
 
-def waste_scores(d: Dialect) -> str:
-    parts = ", ".join(f"least({most}, {per} * {d.hits('text', p)}) as {n}" for n, p, per, most in WASTE)
-    total = " + ".join(n for n, *_ in WASTE)
-    return f"with w as (select doc_id, {parts} from documents) select *, greatest(0, 100 - ({total})) as score from w"
-
-
 def word_overuse(d: Dialect) -> str:
     return f"""with w as (select doc_id, {d.explode(d.all('lower(text)', '[a-z]{5,}'))} as word from documents) select doc_id, count(*) as overused from (select doc_id, word from w group by doc_id, word having count(*) >= 3) x group by doc_id"""
 
 
-def doubled_words(d: Dialect) -> str:
-    pos = "posexplode(split(lower(text), r'\\s+')) as (i, word)" if d.spark else r"generate_subscripts(string_split_regex(lower(text), '\s+'), 1) as i, unnest(string_split_regex(lower(text), '\s+')) as word"
-    return f"""with w as (select doc_id, {pos} from documents), l as (select doc_id, word, lag(word) over (partition by doc_id order by i) as before from w) select doc_id, count(*) as doubled from l where word = before and word <> '' group by doc_id"""
-
-
-def repeated_lines(d: Dialect) -> str:
-    pos = "posexplode(split(text, r'\\n')) as (i, line)" if d.spark else "generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line"
-    return f"""with w as (select doc_id, {pos} from documents), l as (select doc_id, line, lag(line) over (partition by doc_id order by i) as before from w) select doc_id, count(*) as repeated from l where line = before and length(line) >= 12 group by doc_id"""
-
-
 def span_pattern_hits(d: Dialect) -> str:
     return " union all ".join(f"select '{n}' as pattern, cast(sum({d.hits('text', p)}) as bigint) as hits, sum(case when {d.has('text', p)} then 1 else 0 end) as docs from documents" for n, p in SPANS)
 
@@ -144,10 +88,6 @@ def by_length(d: Dialect) -> str:
 select size, lang, count(*) as n, cast(sum(before) as bigint) as before_tokens, cast(sum(after) as bigint) as after_tokens, sum(case when after < before then 1 else 0 end) as smaller, sum(case when after = before then 1 else 0 end) as same from b group by grouping sets ((size), (lang), ())"""
 
 
-def attested_words(d: Dialect) -> str:
-    return f"""with w as (select distinct doc_id, {d.explode(d.all('lower(text)', '[a-z]+'))} as word from documents) select word, count(*) as df from w group by word having count(*) >= 3"""
-
-
 def lexicon_tfidf(d: Dialect) -> str:
     """L2 norm and number of the tf-idf weights of each benchmark item: tf = 1 + ln n, idf from document frequency."""
     return f"""with w as (select item_id, {d.explode(d.all('lower(text)', '[a-z]+'))} as term from benchmark), tf as (select item_id, term, 1 + ln(count(*)) as tf from w group by item_id, term),
@@ -167,4 +107,4 @@ def template_augmentation(d: Dialect) -> str:
     return """with t as (select * from (values (1, 'Explain '), (2, 'Compare '), (3, 'List ')) as v(k, template)), x as (select distinct lang from documents) select k, concat(template, lang) as phrase from t cross join x where concat(template, lang) not in (select text from benchmark)"""
 
 
-QUERIES = [token_estimate_documents, sanitise_counts, reject_reasons, dedupe_first_wins, task_category, derived_flags, redact_pii, label_audit, phrase_conflicts, corpus_stats, script_ratio, waste_scores, word_overuse, doubled_words, repeated_lines, span_pattern_hits, finding_dedupe, preservation_loss, floor_quantiles, by_length, attested_words, lexicon_tfidf, confusion_metrics, first_user_turn, template_augmentation]
+QUERIES = [sanitise_counts, label_audit, phrase_conflicts, corpus_stats, script_ratio, word_overuse, span_pattern_hits, finding_dedupe, preservation_loss, floor_quantiles, by_length, lexicon_tfidf, confusion_metrics, first_user_turn, template_augmentation]

@@ -35,11 +35,6 @@ span as (select user_id, g, max(day) as last, count(*) as n from isle group by u
 select anchor.user_id, coalesce(max(case when span.last >= anchor.a then (select_n) end), 0) as streak from (select s.*, s.n as select_n from span s) span right join anchor on span.user_id = anchor.user_id and span.last = anchor.a group by anchor.user_id"""
 
 
-def badges(d: Dialect) -> str:
-    return f"""with {scored_events()}, a as (select user_id, count(*) as n, avg(score) as m, sum(case when score >= 85 then 1 else 0 end) as good, sum(value) * 0.00036 as saved from scored group by user_id)
-select user_id, n >= 5 and m >= 90 as efficient, saved >= 1 as saver, good >= 20 as steady from a"""
-
-
 def weekly_challenge(d: Dialect) -> str:
     return f"""with {scored_events()} select user_id, cast(floor(sum(value)) as bigint) as tokens, least(100, {js_round('floor(sum(value)) / 500.0 * 100')}) as progress from scored where ts >= {AS_OF} - interval '7' day group by user_id"""
 
@@ -78,10 +73,6 @@ def daily_value_alert(d: Dialect) -> str:
     return f"""with {scored_events()} select user_id, cast(round(sum(value) * 0.36, 4) as double) as carbon, sum(value) * 0.36 > 5.0 as warn from scored where day = cast({AS_OF} as date) group by user_id"""
 
 
-def low_efficiency(d: Dialect) -> str:
-    return f"""with {scored_events()} select user_id, 15 * count(*) as savings from scored group by user_id having min(score) < 85 and {js_round('avg(score)')} < 85"""
-
-
 def fifo_cap(d: Dialect) -> str:
     return f"""with r as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) select user_id, count(*) as kept, min(event_id) as oldest from r where k <= {CAP} group by user_id"""
 
@@ -92,7 +83,7 @@ def delete_by_time(d: Dialect) -> str:
 
 def search_history(d: Dialect) -> str:
     hit = "contains(lower(prompt), 'the') or contains(lower(response), 'the')"
-    return f"with {turns(d)} select conv_id, turn, substr(prompt, 1, 60) as prompt from turns where {hit}"
+    return f"with {turns(d)} select conv_id, turn, prompt, response from turns where {hit}"
 
 
 def csv_export(d: Dialect) -> str:
@@ -115,4 +106,4 @@ def nearest_user_turn(d: Dialect) -> str:
     return f"""with p as (select conv_id, turn, role, {ignore} over (partition by conv_id order by turn rows between unbounded preceding and current row) as user_turn from conversations) select conv_id, turn, user_turn from p where role = 'assistant'"""
 
 
-QUERIES = [turn_token_footprint, history_aggregate, headroom_running, streak, badges, weekly_challenge, daily_series, weekly_series_sunday, monthly_series, duplicate_prompts, rapid_regenerations, history_penalty, daily_value_alert, low_efficiency, fifo_cap, delete_by_time, search_history, csv_export, log_lines, gram_labels, nearest_user_turn]
+QUERIES = [turn_token_footprint, history_aggregate, headroom_running, streak, weekly_challenge, daily_series, weekly_series_sunday, monthly_series, duplicate_prompts, rapid_regenerations, history_penalty, daily_value_alert, fifo_cap, delete_by_time, search_history, csv_export, log_lines, gram_labels, nearest_user_turn]

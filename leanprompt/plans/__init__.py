@@ -1,9 +1,11 @@
-"""Registered queries of the engine's own operators, and their oracles: one text, in the spelling of either engine."""
+"""Registered queries of the engine's own operators, and their oracles: those of `operators` in
+one text, in the spelling of either engine; those of `direct` as DataFrames with oracles of their own."""
 
 from __future__ import annotations
 
 from leanprompt.functions.dialect import ORACLE, SPARK
 from leanprompt.operators import corpus, history
+from leanprompt.plans import direct
 from leanprompt.sources.tables import register
 
 
@@ -16,5 +18,5 @@ def _query(make):
 
 
 _ALL = [*history.QUERIES, *corpus.QUERIES]
-QUERIES = {make.__name__: _query(make) for make in _ALL}
-ORACLES = {make.__name__: make(ORACLE) for make in _ALL}
+QUERIES = {make.__name__: _query(make) for make in _ALL} | direct.QUERIES
+ORACLES = {make.__name__: make(ORACLE) for make in _ALL} | direct.ORACLES
