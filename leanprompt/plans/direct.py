@@ -208,7 +208,8 @@ ORACLES = {
 a AS (SELECT *, regexp_replace(p0, '\b[\w.+-]+@[\w-]+\.[\w.]{{2,}}\b', '[EMAIL]', 'g') AS p1, len(regexp_extract_all(p0, '\b[\w.+-]+@[\w-]+\.[\w.]{{2,}}\b')) AS h1 FROM p),
 b AS (SELECT *, regexp_replace(p1, '\b(?:sk-|ghp_|gho_|github_pat_|xox[baprs]-)[A-Za-z0-9_-]{{16,}}', '[API_KEY]', 'g') AS p2, len(regexp_extract_all(p1, '\b(?:sk-|ghp_|gho_|github_pat_|xox[baprs]-)[A-Za-z0-9_-]{{16,}}')) AS h2 FROM a),
 c AS (SELECT *, regexp_replace(p2, '\bBearer\s+[A-Za-z0-9._-]{{20,}}', 'Bearer [TOKEN]', 'g') AS p3, len(regexp_extract_all(p2, '\bBearer\s+[A-Za-z0-9._-]{{20,}}')) AS h3 FROM b),
-d AS (SELECT *, regexp_replace(p3, '\b(?:\d[ -]?){{13,19}}\b', '[CARD]', 'g') AS p4, len(regexp_extract_all(p3, '\b(?:\d[ -]?){{13,19}}\b')) AS h4 FROM c),
+m AS (SELECT *, regexp_replace(p3, '([\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{24f}}])', 'ZqZq\1', 'g') AS q3 FROM c), -- so that \b, of ASCII here, takes accented letters for letters
+d AS (SELECT *, replace(regexp_replace(q3, '\b(?:\d[ -]?){{13,19}}\b', '[CARD]', 'g'), 'ZqZq', '') AS p4, len(regexp_extract_all(q3, '\b(?:\d[ -]?){{13,19}}\b')) AS h4 FROM m),
 e AS (SELECT *, regexp_replace(p4, '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '[SSN]', 'g') AS p5, len(regexp_extract_all(p4, '\b\d{{3}}-\d{{2}}-\d{{4}}\b')) AS h5 FROM d),
 j AS (SELECT doc_id, md5(string_agg(p5 || coalesce(codes[i], ''), '' ORDER BY i)) AS clean_md5, CAST(sum(h1 + h2 + h3 + h4 + h5) AS BIGINT) AS hits FROM e GROUP BY doc_id)
 SELECT doc_id, clean_md5, hits FROM documents LEFT JOIN j USING (doc_id)""",
