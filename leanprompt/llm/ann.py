@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-PIVOTS, PREFIX, SAMPLE = 512, 128, 4_096
+PIVOTS, PREFIX, SAMPLE = 512, 64, 4_096
 SHARE = 0.12  # of a block's entries that are reranked
 BLOCK = 8_192
 
