@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from leanprompt import plans
 
-NAMES = ["turn_token_footprint", "token_estimate_documents", "redact_pii", "dedupe_first_wins", "waste_scores", "word_overuse", "streak", "rapid_regenerations", "by_length", "attested_words"]
+NAMES = ["turn_token_footprint", "token_estimate_documents", "redact_pii", "dedupe_first_wins", "waste_points", "word_overuse", "streak", "rapid_regenerations", "by_length", "attested_words", "classifier_inference", "masked_span_census", "compression_benchmark"]
 
 
 def main() -> None:

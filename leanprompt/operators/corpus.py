@@ -61,12 +61,21 @@ def word_overuse(d: Dialect) -> str:
 
 
 def span_pattern_hits(d: Dialect) -> str:
-    return " union all ".join(f"select '{n}' as pattern, cast(sum({d.hits('text', p)}) as bigint) as hits, sum(case when {d.has('text', p)} then 1 else 0 end) as docs from documents" for n, p in SPANS)
+    """One scan: sums of all patterns side by side, then a row for each."""
+    sums = ", ".join(f"cast(sum({d.hits('text', p)}) as bigint) as h{k}, cast(sum(case when {d.has('text', p)} then 1 else 0 end) as bigint) as d{k}" for k, (_, p) in enumerate(SPANS))
+    if d.spark:
+        return f"select stack({len(SPANS)}, {', '.join(f'{chr(39)}{n}{chr(39)}, h{k}, d{k}' for k, (n, _) in enumerate(SPANS))}) as (pattern, hits, docs) from (select {sums} from documents)"
+    return f"with s as (select {sums} from documents) " + " union all ".join(f"select '{n}' as pattern, h{k} as hits, d{k} as docs from s" for k, (n, _) in enumerate(SPANS))
 
 
 def finding_dedupe(d: Dialect) -> str:
-    each = " union all ".join(f"select doc_id, '{n}' as label, {per} as severity, {k} as ord from documents where {d.has('text', p)}" for k, (n, p, per, _) in enumerate(WASTE))
-    return f"with f as ({each}) select doc_id, lower(label) as label, max(severity) as severity, min(ord) as ord, count(*) as n from f group by doc_id, lower(label)"
+    """One scan: the rules that hit a text as an array, a row for each."""
+    if d.spark:
+        each = ", ".join(f"case when {d.has('text', p)} then named_struct('label', '{n}', 'severity', {per}, 'ord', {k}) end" for k, (n, p, per, _) in enumerate(WASTE))
+        found = f"select doc_id, inline(array_compact(array({each}))) from documents"
+    else:
+        found = " union all ".join(f"select doc_id, '{n}' as label, {per} as severity, {k} as ord from documents where {d.has('text', p)}" for k, (n, p, per, _) in enumerate(WASTE))
+    return f"with f as ({found}) select doc_id, lower(label) as label, max(severity) as severity, min(ord) as ord, count(*) as n from f group by doc_id, lower(label)"
 
 
 def preservation_loss(d: Dialect) -> str:

@@ -56,7 +56,7 @@ def monthly_series(d: Dialect) -> str:
 
 
 def duplicate_prompts(d: Dialect) -> str:
-    return f"""with k as (select doc_id, {d.trim('text')} as key from documents) select md5(key) as key_md5, count(*) - 1 as repeats, max(doc_id) as last_seen, substr(key, 1, 30) as sample from k group by key having count(*) > 1"""
+    return f"""with t as (select doc_id, {d.trim('text')} as key from documents), k as (select doc_id, md5(key) as key_md5, substr(key, 1, 30) as sample from t where key is not null) select key_md5, count(*) - 1 as repeats, max(doc_id) as last_seen, min(sample) as sample from k group by key_md5 having count(*) > 1"""
 
 
 def rapid_regenerations(d: Dialect) -> str:

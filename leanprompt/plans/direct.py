@@ -60,6 +60,16 @@ def token_savings(spark, where):
     return prompts(spark, where).select(F.col("seq").alias("doc_id"), token_stats(p, F.regexp_replace(p, r"\s+", " ")).alias("s")).select("doc_id", "s.*")
 
 
+def by_length(spark, where):
+    """Tokens before and after squeezing white space, by size, by language and in all; each text is measured once."""
+    p = F.col("prompt")
+    rows = prompts(spark, where).select("lang", token_stats(p, F.regexp_replace(p, r"\s+", " ")).alias("s")).select("lang", F.coalesce("s.original", F.lit(0)).alias("before"), F.coalesce("s.optimized", F.lit(0)).alias("after"))
+    rows = rows.withColumn("size", F.when(F.col("before") < 30, "short").when(F.col("before") < 120, "medium").otherwise("long"))
+    out = rows.groupBy("size", "lang").agg(F.count("*").alias("n"), F.sum("before").alias("b"), F.sum("after").alias("a"), F.sum((F.col("after") < F.col("before")).cast("int")).alias("l"), F.sum((F.col("after") == F.col("before")).cast("int")).alias("e"))
+    total = lambda c, name: F.sum(c).cast("long").alias(name)
+    return out.groupingSets([["size"], ["lang"], []], "size", "lang").agg(total("n", "n"), total("b", "before_tokens"), total("a", "after_tokens"), total("l", "smaller"), total("e", "same"))
+
+
 #: The waste rules that both engines' patterns can express: label in the query's column, place among the rules.
 PLAIN_WASTE = {"greetings": 0, "politeness": 1, "preambles": 2, "meta": 3, "wordy": 4, "punctuation": 5, "footer": 7, "slang": 9, "hedging": 10, "urgency": 12, "keyboard": 13, "commentary": 15}
 
@@ -286,4 +296,4 @@ SELECT user_id, id, CAST(15 * weak AS BIGINT) AS savings FROM f UNION ALL SELECT
     "low_efficiency": "WITH e AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 101 AS score FROM events) SELECT user_id, CAST(15 * count(*) FILTER (WHERE score < 85) AS BIGINT) AS savings FROM e GROUP BY user_id HAVING count(*) FILTER (WHERE score < 85) > 0 AND floor(avg(coalesce(score, 100)) + 0.5) < 85",
 }
 
-QUERIES = {f.__name__: f for f in (corpus_screen, reject_reasons, dedupe_first_wins, fingerprints, redact_pii, task_category, derived_flags, token_estimate_documents, token_savings, waste_points, scope_points, doubled_words, repeated_lines, attested_words, phrase_audit, review_flag_counts, near_duplicate_turns, classifier_inference, badges, recommendations, low_efficiency, efficiency_scores, masked_span_census, finding_counts, compression_benchmark)}
+QUERIES = {f.__name__: f for f in (corpus_screen, reject_reasons, dedupe_first_wins, fingerprints, redact_pii, task_category, derived_flags, token_estimate_documents, token_savings, by_length, waste_points, scope_points, doubled_words, repeated_lines, attested_words, phrase_audit, review_flag_counts, near_duplicate_turns, classifier_inference, badges, recommendations, low_efficiency, efficiency_scores, masked_span_census, finding_counts, compression_benchmark)}
