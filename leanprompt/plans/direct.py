@@ -9,7 +9,12 @@ from leanprompt.operators import classifier, ingest, text
 from leanprompt.operators.native import js_round, token_estimate, token_stats
 from leanprompt.text import scoring
 
-ASCII_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def plain(c):
+    """The text with a sign that is no letter for each character beyond ASCII: the JVM's word boundaries take accented
+    letters for letters, those of the rules do not."""
+    return F.regexp_replace(c, r"[^\x00-\x7f]", "\x01")
 
 
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
@@ -29,8 +34,7 @@ def reject_reasons(spark, where):
 
 
 def dedupe_first_wins(spark, where):
-    kept = ingest.screen(prompts(spark, where)).where("reason is null or reason = 'duplicate'")
-    return kept.groupBy(F.md5(ingest.dedupe_key(F.col("prompt"))).alias("key")).agg(F.min("seq").alias("doc_id"), F.count("*").alias("n"))
+    return ingest.gated(prompts(spark, where)).where("key is not null").groupBy("key").agg(F.min("seq").alias("doc_id"), F.count("*").alias("n"))
 
 
 def fingerprints(spark, where):
@@ -78,15 +82,15 @@ def waste_points(spark, where):
     cols = []
     for name, k in PLAIN_WASTE.items():
         _, per, most, rx = scoring.WASTE[k]
-        pattern = ("" if name == "punctuation" else "(?i)") + rx.pattern.replace(r"\b", ASCII_EDGE)
-        cols.append(F.least(F.lit(most), per * F.regexp_count("prompt", F.lit(pattern))).cast("long").alias(name))
-    return prompts(spark, where).select(F.col("seq").alias("doc_id"), *cols)
+        pattern = ("" if name == "punctuation" else "(?i)") + rx.pattern
+        cols.append(F.least(F.lit(most), per * F.regexp_count("plain", F.lit(pattern))).cast("long").alias(name))
+    return prompts(spark, where).withColumn("plain", plain(F.col("prompt"))).select(F.col("seq").alias("doc_id"), *cols)
 
 
 def scope_points(spark, where):
     p = F.col("prompt")
     items = F.array_max(F.transform(F.split(p, r"(?<=[.!?])\s+", -1), lambda s: F.size(F.split(s, ",", -1))))
-    wanted = F.regexp_count(p, F.lit("(?i)" + scoring.DELIVERABLE.pattern.replace(r"\b", ASCII_EDGE)))
+    wanted = F.regexp_count(plain(p), F.lit("(?i)" + scoring.DELIVERABLE.pattern))
     rows = prompts(spark, where).select(F.col("seq").alias("doc_id"), items.cast("long").alias("items"), wanted.cast("long").alias("deliverables"))
     return rows.select("*", F.when(F.col("items") > 12, F.least(F.lit(20), js_round((F.col("items") - 12) / 2))).otherwise(0).alias("list_points"), F.when(F.col("deliverables") > 3, F.least(F.lit(10), 2 * (F.col("deliverables") - 3))).otherwise(0).alias("deliverable_points"))
 
