@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ BANDS, ROWS = 24, 6  # of the min-hash
 SEED = 5
 BLOCK = 256  # fingerprints a block within a tile
 MANY = 1 << 16  # shingles held at once
+BITS = 27  # of the bitmap that spares rows a shuffle: 16 MB
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -264,6 +266,28 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return by_batch(rows.select("id", "digest", "fp", "text"), "id long, fp binary, set binary", make, rows=1_000)
 
 
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df without most rows whose column (long) is not in the one column of ids; it keeps all that are, and nulls may go.
+
+    For use before a join, so that what finds no partner is not shuffled. The bitmap has a fixed size, at most
+    2 ** (BITS - 6) words reach the driver, and many more ids than BITS holds only let more rows pass.
+    """
+    place = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - BITS)
+    x = ids.select(place(ids.columns[0]).alias("x"))
+    words = x.groupBy(F.expr("cast(x div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x % 64 as int)))").alias("b"))
+    got = keep(words).toArrow()
+    bits = np.zeros(1 << (BITS - 6), np.int64)
+    bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def has(s: pd.Series) -> pd.Series:
+        at = s.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return df.where(has(place(column)))
+
+
 def prefix_pairs(sets: list[np.ndarray], of: np.ndarray, similarity: float):
     """Yields arrays (i, j) of pairs of different classes that hold all those with the similarity, some of them repeatedly.
 
@@ -394,7 +418,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
 
     Equal sets are one vertex. A vertex first meets the others whose least bucket-mate is the same (its leader), so that
     its set travels once; the links found contract the buckets, and buckets that then hold several classes not yet
-    compared are compared whole.
+    compared are compared whole. Of the texts, only those of linked documents are shuffled (see among()).
     """
     radius = radius_of(similarity, 64 * words)
     prints = keep(set_prints(docs.where("doc_id is not null"), size, words, bands, rows))
@@ -409,7 +433,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     # the leader belongs to its own group too, whatever leader it has itself
     own = linked.join(linked.select(F.col("group").alias("id")).distinct(), "id", "left_semi").select("id", F.col("id").alias("group"), "n")
     led = keep(linked.select("id", "group", "n").unionByName(own).distinct())
-    sets = keep(shingle_sets(docs.select("doc_id", "text").join(linked.select("doc_id", "id", "digest", "fp"), "doc_id"), size))
+    sets = keep(shingle_sets(among(docs.select("doc_id", "text"), "doc_id", linked.select("doc_id")).join(linked.select("doc_id", "id", "digest", "fp"), "doc_id"), size))
     if sets.count() > linked.count():  # repeated rows
         sets = keep(sets.groupBy("id").agg(F.first("fp").alias("fp"), F.first("set").alias("set")))
     near = keep(verified_links(led.withColumn("class", F.col("id")), sets, radius, similarity, tile, pairs=False))
@@ -424,7 +448,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     rest = keep(named.join(mixed_, "key").select("id", F.col("low").alias("group"), "class", "n").distinct())
     edges = near
     if not rest.isEmpty():
-        edges = near.unionByName(keep(verified_links(rest, sets, radius, similarity, tile, pairs=True)))
+        again = among(sets, "id", rest.select("id"))
+        edges = near.unionByName(keep(verified_links(rest, again, radius, similarity, tile, pairs=True)))
     groups = components(edges).select(F.col("u").alias("id"), F.col("root").alias("group"))
     named = points.join(groups, "id", "left").select("digest", "doc_id", F.coalesce("group", "id").alias("group"))
     named = named.join(named.groupBy("group").agg(F.min("doc_id").alias("least")), "group").select("digest", "least")

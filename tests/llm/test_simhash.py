@@ -130,3 +130,12 @@ def test_prefix_filter_loses_no_pair():
     got = {(min(x, y), max(x, y)) for i, j in simhash.prefix_pairs(sets, np.arange(120), 0.8) for x, y in zip(i.tolist(), j.tolist())}
     want = {(i, j) for i, j in itertools.combinations(range(120), 2) if simhash.jaccard(sets[i], sets[j]) >= 0.8}
     assert want <= got
+
+
+def test_among_keeps_every_partner(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(5_000)] + [(None, "null")], "doc_id long, text string")
+    ids = rows.where("doc_id % 10 = 3").select("doc_id").unionByName(rows.where("doc_id is null").select("doc_id"))
+    got = [r.doc_id for r in simhash.among(rows, "doc_id", ids).collect()]
+    assert {i for i in range(5_000) if i % 10 == 3} <= set(got) and len(got) < 600
+    assert not simhash.among(rows, "doc_id", ids.limit(0)).collect()
+    assert not simhash.among(rows.limit(0), "doc_id", ids).collect()
