@@ -16,8 +16,11 @@ any stretch that it holds a part of; runs that hit are joined with the items on
 bit-parallel edit distance of the whole item. Pairs and keys are tested against bitmaps of fixed size, so nothing that is
 broadcast grows with the benchmark; a false hit only costs a join row.
 
-Null and empty texts hold nothing. Items with fewer than MIN_WORDS words say too little and are ignored. Repeated rows
-of documents give one result for each doc_id and item; a null doc_id or item_id gives none. Empty tables give an empty
+Items with fewer than MIN_WORDS words are too short for pieces and are found exactly: at most one edit is allowed them,
+which leaves one of their halves whole (the whole item where none is allowed), so that the hashes of those are their keys
+and the words about each hit are verified likewise.
+
+Null and empty texts hold nothing, and items without words are in no document. Repeated rows of documents give one result for each doc_id and item; a null doc_id or item_id gives none. Empty tables give an empty
 result; columns besides ids and texts are not read.
 """
 
@@ -103,6 +106,19 @@ def pieces(n: int) -> np.ndarray:
     return np.unique(np.append(np.arange(0, n - PIECE + 1, STEP), n - PIECE))
 
 
+def halves(n: int) -> list[tuple[int, int]]:
+    """First and past-the-last words of the parts of a short item of n words, one of which every copy of it holds."""
+    return [(0, n // 2), (n // 2, n)] if int(EDITS * n) else [(0, n)]
+
+
+def run_keys(s: np.ndarray, n: int) -> np.ndarray:
+    """Keys of all runs of n words, one for each start."""
+    key = np.full(max(len(s) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        key = mix(key * _U(0x9E3779B97F4A7C15) + s[k : k + len(key)])
+    return key
+
+
 def distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
     """The least edit distance of the whole item to any stretch of text, and where the first such stretch ends (Myers' bit vectors)."""
     n = len(item)
@@ -125,22 +141,29 @@ def distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
 
 
 def item_keys(benchmark: DataFrame) -> DataFrame:
-    """item_id, its words, the size of its windows, LSH keys and word-pair hashes of each item long enough."""
+    """item_id, its words, the size of its windows, LSH keys and word-pair hashes of each item; of short ones no size and
+    no pairs, but the keys and lengths of their parts."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            out: dict = {"item_id": [], "words": [], "size": [], "keys": [], "pairs": []}
+            out: dict = {"item_id": [], "words": [], "size": [], "keys": [], "pairs": [], "parts": []}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = words(t)
+                if not ws:
+                    continue
+                s = symbols(ws)
                 if len(ws) >= MIN_WORDS:
-                    s = symbols(ws)
-                    for k, v in (("item_id", i), ("words", b" ".join(ws)), ("size", size_of(len(ws))), ("keys", np.unique(walk_keys(s, pieces(len(ws)))).view(np.int64)), ("pairs", pairs(s))):
-                        out[k].append(v)
+                    size, keys, pair, parts = size_of(len(ws)), walk_keys(s, pieces(len(ws))), pairs(s), []
+                else:
+                    cuts = halves(len(ws))
+                    size, keys, pair, parts = None, np.concatenate([run_keys(s[a:b], b - a) for a, b in cuts]), [], [b - a for a, b in cuts]
+                for k, v in (("item_id", i), ("words", b" ".join(ws)), ("size", size), ("keys", np.unique(keys).view(np.int64)), ("pairs", pair), ("parts", parts)):
+                    out[k].append(v)
             return out
 
         return step
 
-    return by_batch(benchmark.where("item_id is not null").select("item_id", "text"), "item_id long, words binary, size int, keys array<long>, pairs array<long>", make)
+    return by_batch(benchmark.where("item_id is not null").select("item_id", "text"), "item_id long, words binary, size int, keys array<long>, pairs array<long>, parts array<int>", make)
 
 
 def bitmap(values: DataFrame) -> np.ndarray:
@@ -160,7 +183,7 @@ def key_bits(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> _U(64 - BITS)).astype(np.int64)
 
 
-def regions(docs: DataFrame, sizes: list[int], pair_map: np.ndarray, key_map: np.ndarray) -> DataFrame:
+def regions(docs: DataFrame, sizes: list[int], parts: list[int], pair_map: np.ndarray, key_map: np.ndarray) -> DataFrame:
     """Stretches of documents with pieces whose keys may be an item's: doc_id, start (in words), words and the keys."""
     shared = docs.sparkSession.sparkContext.broadcast((pair_map, key_map))
     needed = {n: pairs_needed(n) for n in sizes}
@@ -180,21 +203,39 @@ def regions(docs: DataFrame, sizes: list[int], pair_map: np.ndarray, key_map: np
         edges = np.diff((np.cumsum(step) > 0).astype(np.int8), prepend=0)
         return np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
 
+    def short_runs(s: np.ndarray):
+        """(first, past-the-last word, keys) of the stretches about hits of the parts of short items."""
+        at, keys = [], []
+        step = np.zeros(len(s) + 1, np.int64)
+        for n in parts:
+            key = run_keys(s, n)
+            hit = np.flatnonzero(has(shared.value[1], key_bits(key)))
+            np.add.at(step, np.maximum(hit - MIN_WORDS, 0), 1)
+            np.add.at(step, np.minimum(hit + n + MIN_WORDS, len(s)), -1)
+            at.append(hit)
+            keys.append(key[hit])
+        at, keys = np.concatenate(at), np.concatenate(keys)
+        edges = np.diff((np.cumsum(step) > 0).astype(np.int8), prepend=0)
+        for a, b in zip(np.flatnonzero(edges > 0).tolist(), np.flatnonzero(edges < 0).tolist()):
+            yield a, b, np.unique(keys[(at >= a) & (at < b)]).view(np.int64)
+
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: dict = {"doc_id": [], "start": [], "words": [], "keys": []}
             line, found, base = [], [], 0  # symbols of the runs, one after the other; (row, start, end) and place of each
             for row, t in enumerate(texts):
                 ws = words(t)
-                # a copy of MIN_WORDS words may have lost as many as there are edits
-                if len(ws) < MIN_WORDS - int(EDITS * MIN_WORDS):
+                if not ws:
                     continue
                 s = symbols(ws)
+                for a, b, keys in short_runs(s) if parts else ():
+                    for name, v in (("doc_id", ids[row]), ("start", a), ("words", b" ".join(ws[a:b])), ("keys", keys)):
+                        out[name].append(v)
                 for a, b in zip(*(x.tolist() for x in runs(s))):
                     line += [s[a : b + PIECE], pad]
                     found.append((row, a, b, base))
                     base += len(line[-2]) + PIECE
-            out: dict = {"doc_id": [], "start": [], "words": [], "keys": []}
             if not found:
                 return out
             symbols_ = np.concatenate(line)
@@ -223,11 +264,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, n_words (of the item), start and end (in words of the document, the stretch ends at end):
     for each document and item it holds, the occurrence with the fewest edits, the first on ties."""
     items = keep(item_keys(benchmark))
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # geometric: few, however many items
+    sizes = sorted(r["size"] for r in items.where("size is not null").select("size").distinct().collect())  # geometric: few, however many items
+    parts = sorted(r["n"] for r in items.select(F.explode("parts").alias("n")).distinct().collect())  # under MIN_WORDS
     keys = items.select("item_id", F.explode("keys").alias("key"))
     pair_map = bitmap(items.select(F.explode("pairs").alias("x")))
     key_map = bitmap(keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("x")))
-    found = keep(regions(docs, sizes, pair_map, key_map))
+    found = keep(regions(docs, sizes, parts, pair_map, key_map))
     hits = found.select("doc_id", "start", F.xxhash64("words").alias("hash"), F.explode("keys").alias("key"))
     candidates = hits.join(keys, "key").select("doc_id", "start", "hash", "item_id").distinct()
     stretches = found.select("doc_id", "start", F.xxhash64("words").alias("hash"), "words").distinct()

@@ -19,7 +19,7 @@ def test_whole_table_against_all_pairs(spark):
     for d, t in zip(table("documents").doc_id, table("documents").text):
         ws = decontaminate.words(t)
         for i, item in items:
-            if len(item) >= decontaminate.MIN_WORDS and len(set(ws) & set(item)) >= 0.5 * len(set(item)):
+            if item and len(set(ws) & set(item)) >= 0.5 * len(set(item)):
                 edits, _ = decontaminate.distance(item, ws)
                 if edits <= int(decontaminate.EDITS * len(item)):
                     want[int(d), int(i)] = edits
@@ -97,6 +97,27 @@ def test_recall_at_all_allowed_edits_does_not_fall_with_length(spark):
         assert len(got.intersection(of_size)) >= 0.98 * len(of_size), n
 
 
+def test_short_items_against_all_pairs(spark):
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [[r.choice(vocabulary) for _ in range(1 + k % 7)] for k in range(70)]
+    docs = [[r.choice(vocabulary) for _ in range(r.randrange(0, 60))] for _ in range(300)]
+    for d, item in enumerate(items[3:]):  # copies, some with one edit, also at the ends of a text
+        ws, k = list(item), r.randrange(len(item))
+        ws[k : k + 1] = r.choice([ws[k : k + 1], [], ["new"], ["new", ws[k]]])
+        docs[d] = [*docs[d][: r.choice([0, 20])], *ws, *docs[d][: r.choice([0, 20])]]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(99, "- !"), (98, "")], "item_id long, text string")
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.edits, x.end) for x in decontaminate.contaminated(frame, bench).collect()}
+    want = {}
+    for d, ws in enumerate(docs):
+        for i, item in enumerate(items):
+            found = decontaminate.distance([w.encode() for w in item], [w.encode() for w in ws])
+            if found[0] <= int(decontaminate.EDITS * len(item)):
+                want[d, i] = found
+    assert got == want and any(e for e, _ in want.values())
+
+
 def test_contamination_odd_rows(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog the quick brown fox"), (1, "the quick brown fox jumps over a lazy dog the quick brown fox"), (2, None), (3, ""), (None, "plain words of a plain text and some more")], "item_id long, text string")
