@@ -418,7 +418,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
 
     Equal sets are one vertex. A vertex first meets the others whose least bucket-mate is the same (its leader), so that
     its set travels once; the links found contract the buckets, and buckets that then hold several classes not yet
-    compared are compared whole. Of the texts, only those of linked documents are shuffled (see among()).
+    compared are compared whole. Of the texts, only those of linked documents are shuffled, and of the
+    keys a second time only those of several vertices (see among()).
     """
     radius = radius_of(similarity, 64 * words)
     prints = keep(set_prints(docs.where("doc_id is not null"), size, words, bands, rows))
@@ -427,7 +428,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     points = keep(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), first.alias("p")).select(F.monotonically_increasing_id().alias("id"), "doc_id", "digest", "p.*"))
     dealt = points.select("id", F.explode("keys").alias("key"))
     heads = dealt.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1").select("key", "head")
-    crowded = keep(dealt.join(heads, "key").select("id", "key", "head"))
+    heads = keep(heads)
+    crowded = keep(among(dealt, "key", heads.select("key")).join(heads, "key").select("id", "key", "head"))
     leaders = crowded.groupBy("id").agg(F.min("head").alias("group"))
     linked = keep(points.join(leaders, "id").select("id", "doc_id", "digest", "fp", "n", "group"))
     # the leader belongs to its own group too, whatever leader it has itself
