@@ -266,26 +266,48 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
     return by_batch(rows.select("id", "digest", "fp", "text"), "id long, fp binary, set binary", make, rows=1_000)
 
 
-def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """df without most rows whose column (long) is not in the one column of ids; it keeps all that are, and nulls may go.
+def marks(ids: DataFrame, salt: int):
+    """A test of long columns: true for all that are in the one column of ids, and for few others.
 
-    For use before a join, so that what finds no partner is not shuffled. The bitmap has a fixed size, at most
-    2 ** (BITS - 6) words reach the driver, and many more ids than BITS holds only let more rows pass.
+    The bitmap has a fixed size, at most 2 ** (BITS - 6) words reach the driver, and many more ids than BITS holds only let
+    more rows pass. Tests of different salt err on different values.
     """
-    place = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - BITS)
+    place = lambda x: F.shiftrightunsigned(F.xxhash64(F.col(x).cast("long"), F.lit(salt)), 64 - BITS)
     x = ids.select(place(ids.columns[0]).alias("x"))
     words = x.groupBy(F.expr("cast(x div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x % 64 as int)))").alias("b"))
     got = keep(words).toArrow()
     bits = np.zeros(1 << (BITS - 6), np.int64)
     bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    shared = ids.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
     @F.pandas_udf("boolean")
     def has(s: pd.Series) -> pd.Series:
         at = s.to_numpy(np.int64)
         return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
 
-    return df.where(has(place(column)))
+    return lambda column: has(place(column))
+
+
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df without most rows whose column (long) is not in the one column of ids; it keeps all that are, and nulls may go.
+
+    For use before a join, so that what finds no partner is not shuffled.
+    """
+    return df.where(marks(ids, 0)(column))
+
+
+def without(df: DataFrame, column: str, gone: DataFrame, stay: DataFrame) -> DataFrame:
+    """df without exactly the rows whose column (long, no nulls) is in the one column of gone; all others are in that of stay.
+
+    Wide rows stay where they are: what a bitmap of gone does not mark stays, and of what it marks only values in doubt
+    can stay, those of stay that it marks by mistake. Rows that a bitmap of these marks too are joined with them.
+    """
+    maybe = marks(gone, 0)
+    doubt = keep(stay.select(F.col(stay.columns[0]).alias(column)).where(maybe(column)).distinct())
+    out = df.where(~maybe(column))
+    if doubt.isEmpty():
+        return out
+    return out.unionByName(df.where(maybe(column)).where(marks(doubt, 1)(column)).join(doubt, column, "left_semi"))
 
 
 def prefix_pairs(sets: list[np.ndarray], of: np.ndarray, similarity: float):
@@ -419,7 +441,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     Equal sets are one vertex. A vertex first meets the others whose least bucket-mate is the same (its leader), so that
     its set travels once; the links found contract the buckets, and buckets that then hold several classes not yet
     compared are compared whole. Of the texts, only those of linked documents are shuffled, and of the
-    keys a second time only those of several vertices (see among()).
+    keys a second time only those of several vertices (see among()); the result is taken from docs by bitmaps, not by a
+    shuffle of all texts (see without()).
     """
     radius = radius_of(similarity, 64 * words)
     prints = keep(set_prints(docs.where("doc_id is not null"), size, words, bands, rows))
@@ -455,10 +478,12 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5
     groups = components(edges).select(F.col("u").alias("id"), F.col("root").alias("group"))
     named = points.join(groups, "id", "left").select("digest", "doc_id", F.coalesce("group", "id").alias("group"))
     named = named.join(named.groupBy("group").agg(F.min("doc_id").alias("least")), "group").select("digest", "least")
-    kept = keep(prints.join(named, "digest").where("doc_id = least").groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    fate = keep(prints.join(named, "digest").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("least")).alias("n")))
+    out = without(docs.where("doc_id is not null"), "doc_id", fate.where("n = 0").select("doc_id"), fate.where("n > 0").select("doc_id"))
+    repeated = fate.where("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        maybe = marks(repeated, 2)
+        out = out.where(~maybe("doc_id")).unionByName(out.where(maybe("doc_id")).dropDuplicates(["doc_id"]))
     return out.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 

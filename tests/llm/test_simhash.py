@@ -139,3 +139,28 @@ def test_among_keeps_every_partner(spark):
     assert {i for i in range(5_000) if i % 10 == 3} <= set(got) and len(got) < 600
     assert not simhash.among(rows, "doc_id", ids.limit(0)).collect()
     assert not simhash.among(rows.limit(0), "doc_id", ids).collect()
+
+
+def test_without_is_exact_however_full_the_bitmaps(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(3_000)] + [(7, "again"), (8, "again")], "doc_id long, text string")
+    gone, stay = (spark.createDataFrame([(i,) for i in range(3_000) if (i % 10 == 8) == x], "other long") for x in (True, False))
+    want = sorted([(i, f"t{i}") for i in range(3_000) if i % 10 != 8] + [(7, "again")])
+    for bits in (27, 12, 8):
+        monkeypatch.setattr(simhash, "BITS", bits)
+        assert sorted(map(tuple, simhash.without(rows, "doc_id", gone, stay).collect())) == want
+        assert not simhash.without(rows, "doc_id", gone.unionByName(stay), stay.limit(0)).collect()
+        assert simhash.without(rows, "doc_id", gone.limit(0), stay.unionByName(gone)).count() == 3_002
+
+
+def test_the_result_shuffles_no_texts(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(7, base), (8, base), (9, base.replace("w150", "x"))] + [(i, " ".join(f"d{i}w{k}" for k in range(100))) for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the ids are many
+    try:
+        kept = simhash.drop_near_duplicates(docs)
+        assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == [7, *range(10, 40)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
