@@ -5,6 +5,7 @@ A dictionary is the caller's: a list of words by rank, of which the first MOST_W
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,21 +14,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from leanprompt.text import compress as C
-from leanprompt.text import diff, findings, language, protect, scoring
+from leanprompt.text import automaton, diff, findings, language, protect, scoring
 from leanprompt.text.words import Dictionary
 
 MOST_WORDS = 50_000
 
 
-def apply_distinct(rows: DataFrame, column: str, schema: str, make: Callable[[], Callable[[str | None], tuple]], into: str) -> DataFrame:
+def apply_distinct(rows: DataFrame, column: str, schema: str, make: Callable[[], Callable], into: str, batch: bool = False) -> DataFrame:
     """rows with `into`, a struct of that schema: make()'s function of each distinct value of the column, joined back by
-    its digest, so that a text that comes often is worked on once. A null value is worked on like any other."""
+    its digest, so that a text that comes often is worked on once. A null value is worked on like any other. batch: the
+    function is one of a list of values."""
     kind = StructType.fromDDL(schema)
 
     def run(batches):
         step = make()
         for s in batches:
-            yield pd.DataFrame([step(t) for t in s], columns=kind.names)
+            done = [x for part in automaton.slices(s) for x in step(part)] if batch else [step(t) for t in s]
+            yield pd.DataFrame(done, columns=kind.names)
 
     run.__annotations__ = {}
     udf = F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)
@@ -46,13 +49,9 @@ def masks(rows: DataFrame, column: str = "text") -> DataFrame:
     """rows with mask: the masked text, its spans and their names."""
 
     def make():
-        def step(t):
-            m = protect.mask(t)
-            return m.masked, m.spans, m.names
-
-        return step
+        return lambda ts: [(m.masked, m.spans, m.names) for m in protect.mask_all(ts)]
 
-    return apply_distinct(rows, column, "masked string, spans array<string>, names array<string>", make, "mask")
+    return apply_distinct(rows, column, "masked string, spans array<string>, names array<string>", make, "mask", batch=True)
 
 
 def unmasked(rows: DataFrame, masked: str = "masked", spans: str = "spans") -> DataFrame:
@@ -66,8 +65,12 @@ def unmasked(rows: DataFrame, masked: str = "masked", spans: str = "spans") -> D
 
 def span_census(rows: DataFrame, column: str = "text") -> DataFrame:
     """(name, spans, texts): how many spans of each name masking takes out, and of how many rows."""
-    names = masks(rows, column).select(F.monotonically_increasing_id().alias("row"), F.explode("mask.names").alias("name"))
-    return names.groupBy("name", "row").count().groupBy("name").agg(F.sum("count").alias("spans"), F.count("*").alias("texts"))
+
+    def make():
+        return lambda ts: [([{"name": n, "spans": k} for n, k in Counter(m.names).items()],) for m in protect.mask_all(ts)]
+
+    found = apply_distinct(rows.select(column), column, "names array<struct<name: string, spans: long>>", make, "mask", batch=True)
+    return found.select(F.explode("mask.names").alias("n")).groupBy("n.name").agg(F.sum("n.spans").alias("spans"), F.count("*").alias("texts"))
 
 
 def scores(rows: DataFrame, ranked: list[str], column: str = "text") -> DataFrame:
@@ -77,13 +80,9 @@ def scores(rows: DataFrame, ranked: list[str], column: str = "text") -> DataFram
     def make():
         words = Dictionary(shared.value)
 
-        def step(t):
-            score, flags = scoring.efficiency(t, words)
-            return score, [f"{kind}: {label}" for kind, label, _ in flags], [p for _, _, p in flags]
-
-        return step
+        return lambda ts: [(score, [f"{kind}: {label}" for kind, label, _ in flags], [p for _, _, p in flags]) for score, flags in scoring.efficiencies(ts, words)]
 
-    return apply_distinct(rows, column, "score int, flags array<string>, points array<int>", make, "efficiency")
+    return apply_distinct(rows, column, "score int, flags array<string>, points array<int>", make, "efficiency", batch=True)
 
 
 def flag_frequency(scored: DataFrame) -> DataFrame:
