@@ -28,3 +28,8 @@ def test_no_pattern_runs_where_the_automaton_rules_it_out():
     assert loose == r"(?i)\bab[^\s(?]*\z" and automaton.loosened(re.compile(r"(a)\1")) is None
     may = automaton.probes(["xAB", "b"])
     assert [m(re.compile(r"(?<!x)ab", re.I)) for m in may] == [True, False]
+
+
+def test_census_counts_rows_apart_from_spans(spark):
+    rows = spark.createDataFrame([("`a` and `b`",), ("`a` and `b`",), ("`c`",), (None,)], "text string")
+    assert [tuple(r) for r in T.span_census(rows).collect()] == [("inline-code", 5, 3)]

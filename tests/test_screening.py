@@ -21,3 +21,12 @@ def test_gate_is_the_reason_and_key_of_the_columns(spark):
     reason = ingest.reject_reason(F.col("prompt"), F.col("clean"))
     want = rows.select("prompt", reason.alias("reason"), F.when(reason.isNull(), F.md5(ingest.dedupe_key(F.col("clean")))).alias("key")).collect()
     assert [(w.reason, w.key) for w in want] == [ingest.gate(w.prompt) for w in want]
+
+
+def test_screen_joins_digests_not_texts(spark, tmp_path):
+    got = direct.corpus_screen(spark, documents(spark, tmp_path, ["a text of words", "A text of words!", "other words here", None]))
+    node = got._jdf.queryExecution().optimizedPlan()
+    while "Join" not in node.nodeName():
+        node = node.children().apply(0)
+    assert "prompt" not in node.output().mkString(",") and "text" not in node.output().mkString(",")
+    assert [r.reason for r in got.orderBy("doc_id").collect()] == ["kept", "duplicate", "kept", "empty"]
