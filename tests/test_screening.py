@@ -30,3 +30,9 @@ def test_screen_joins_digests_not_texts(spark, tmp_path):
         node = node.children().apply(0)
     assert "prompt" not in node.output().mkString(",") and "text" not in node.output().mkString(",")
     assert [r.reason for r in got.orderBy("doc_id").collect()] == ["kept", "duplicate", "kept", "empty"]
+
+
+def test_reasons_are_counted_in_one_pass(spark, tmp_path):
+    got = direct.reject_reasons(spark, documents(spark, tmp_path, ["a text of words", "A text of words!", "other words here", None, "a text  of words", "a"]))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert sorted(map(tuple, got.collect())) == [("s0", "duplicate", 1), ("s0", "kept", 2), ("s1", "duplicate", 1), ("s1", "empty", 1), ("s1", "too_short", 1)]
