@@ -36,3 +36,8 @@ def test_reasons_are_counted_in_one_pass(spark, tmp_path):
     got = direct.reject_reasons(spark, documents(spark, tmp_path, ["a text of words", "A text of words!", "other words here", None, "a text  of words", "a"]))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert sorted(map(tuple, got.collect())) == [("s0", "duplicate", 1), ("s0", "kept", 2), ("s1", "duplicate", 1), ("s1", "empty", 1), ("s1", "too_short", 1)]
+
+
+def test_words_end_at_accented_letters(spark):
+    got = spark.createDataFrame([("isñ de",), ("is de",), ("isn de",), ("\x0bis de",), (None,)], "p string").select(ingest.category(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["factual", "factual", "other", "other", "other"]
