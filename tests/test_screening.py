@@ -41,3 +41,8 @@ def test_reasons_are_counted_in_one_pass(spark, tmp_path):
 def test_words_end_at_accented_letters(spark):
     got = spark.createDataFrame([("isñ de",), ("is de",), ("isn de",), ("\x0bis de",), (None,)], "p string").select(ingest.category(F.col("p"))).collect()
     assert [r[0] for r in got] == ["factual", "factual", "other", "other", "other"]
+
+
+def test_waste_points_take_space_as_their_sql_does(spark, tmp_path):
+    got = direct.waste_points(spark, documents(spark, tmp_path, ["I need to go", "I\x0bneed to go", "héllo hello!!", "w/x u, asdfſqwer"])).orderBy("doc_id").collect()
+    assert [(r.preambles, r.greetings, r.punctuation, r.slang, r.keyboard) for r in got] == [(10, 0, 0, 0, 0), (0, 0, 0, 0, 0), (0, 5, 10, 0, 0), (0, 0, 0, 8, 12)]
