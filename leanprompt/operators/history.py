@@ -36,6 +36,12 @@ select anchor.user_id, coalesce(max(case when span.last >= anchor.a then (select
 
 
 def weekly_challenge(d: Dialect) -> str:
+    """A week's tokens. Values are added in the order of their events, as the oracle adds them on one thread: floor() tells
+    apart sums that only the order of adding does. A window keeps that order and spills; a plain sum is of no order."""
+    if d.spark:
+        total = "max_by(running, k)"
+        return f"""with {scored_events()}, ordered as (select user_id, sum(value) over w as running, row_number() over w as k from scored where ts >= {AS_OF} - interval '7' day window w as (partition by user_id order by event_id, value rows unbounded preceding))
+select user_id, cast(floor({total}) as bigint) as tokens, least(100, {js_round(f'floor({total}) / 500.0 * 100')}) as progress from ordered group by user_id"""
     return f"""with {scored_events()} select user_id, cast(floor(sum(value)) as bigint) as tokens, least(100, {js_round('floor(sum(value)) / 500.0 * 100')}) as progress from scored where ts >= {AS_OF} - interval '7' day group by user_id"""
 
 
