@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from leanprompt.operators import classifier, ingest, text
+from leanprompt.functions.dialect import SPARK
+from leanprompt.operators import classifier, corpus, ingest, text
 from leanprompt.operators.native import js_round, token_estimate, token_stats
 from leanprompt.text import scoring
 
@@ -119,6 +123,22 @@ def repeated_lines(spark, where):
     return rows.where("repeated > 0").select("doc_id", "repeated")
 
 
+@F.arrow_udf(LongType())
+def overused(texts: pa.Array) -> pa.Array:
+    """Words of five letters or more that come three times or more."""
+    each = (t.as_py() for t in texts)
+    return pa.array([t if t is None else sum(n >= 3 for n in Counter(re.findall("[a-z]{5,}", t.lower())).values()) for t in each], pa.int64())
+
+
+def word_overuse(spark, where):
+    """Counted within each text, so that no task holds the words of many; rows that share their doc_id are added up by the SQL."""
+    docs = table(spark, where, "documents").select("doc_id", "text")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs.createOrReplaceTempView("documents")
+        return spark.sql(corpus.word_overuse(SPARK))
+    return docs.select("doc_id", overused("text").alias("overused")).where("overused > 0")
+
+
 def attested_words(spark, where):
     words = F.array_distinct(F.regexp_extract_all(F.lower("prompt"), F.lit("[a-z]+"), F.lit(0)))
     return prompts(spark, where).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("df")).where("df >= 3")
@@ -310,4 +330,4 @@ SELECT user_id, id, CAST(15 * weak AS BIGINT) AS savings FROM f UNION ALL SELECT
     "low_efficiency": "WITH e AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 101 AS score FROM events) SELECT user_id, CAST(15 * count(*) FILTER (WHERE score < 85) AS BIGINT) AS savings FROM e GROUP BY user_id HAVING count(*) FILTER (WHERE score < 85) > 0 AND floor(avg(coalesce(score, 100)) + 0.5) < 85",
 }
 
-QUERIES = {f.__name__: f for f in (corpus_screen, reject_reasons, dedupe_first_wins, fingerprints, redact_pii, task_category, derived_flags, token_estimate_documents, token_savings, by_length, waste_points, scope_points, doubled_words, repeated_lines, attested_words, phrase_audit, review_flag_counts, near_duplicate_turns, classifier_inference, badges, recommendations, low_efficiency, efficiency_scores, masked_span_census, finding_counts, compression_benchmark)}
+QUERIES = {f.__name__: f for f in (corpus_screen, reject_reasons, dedupe_first_wins, fingerprints, redact_pii, task_category, derived_flags, token_estimate_documents, token_savings, by_length, waste_points, scope_points, doubled_words, repeated_lines, word_overuse, attested_words, phrase_audit, review_flag_counts, near_duplicate_turns, classifier_inference, badges, recommendations, low_efficiency, efficiency_scores, masked_span_census, finding_counts, compression_benchmark)}

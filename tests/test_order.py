@@ -5,6 +5,7 @@ import datetime
 import duckdb
 
 from leanprompt import plans
+from leanprompt.plans import direct
 
 
 def test_weekly_tokens_are_added_in_the_order_of_events(spark, tmp_path):
@@ -22,3 +23,12 @@ def test_weekly_tokens_are_added_in_the_order_of_events(spark, tmp_path):
     duck.sql("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
     duck.executemany("insert into events values (?, ?, ?, ?, ?, ?)", rows)
     assert got == {r[0]: r[1] for r in duck.sql(plans.ORACLES["weekly_challenge"]).fetchall()}
+
+
+def test_overuse_is_counted_without_moving_words(spark, tmp_path):
+    rows = [(1, "Apple apple apple pears"), (2, "apple apple"), (3, None), (4, "tiny tiny tiny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = direct.word_overuse(spark, f"{tmp_path}/a")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString() and [tuple(r) for r in got.collect()] == [(1, 1)]
+    spark.createDataFrame([*rows, (2, "apple")], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert sorted(tuple(r) for r in direct.word_overuse(spark, f"{tmp_path}/b").collect()) == [(1, 1), (2, 1)]
