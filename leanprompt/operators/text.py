@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,10 +21,11 @@ from leanprompt.text.words import Dictionary
 MOST_WORDS = 50_000
 
 
-def apply_distinct(rows: DataFrame, column: str, schema: str, make: Callable[[], Callable], into: str, batch: bool = False) -> DataFrame:
+def apply_distinct(rows: DataFrame, column: str, schema: str, make: Callable[[], Callable], into: str, batch: bool = False, spread: bool = False) -> DataFrame:
     """rows with `into`, a struct of that schema: make()'s function of each distinct value of the column, joined back by
     its digest, so that a text that comes often is worked on once. A null value is worked on like any other. batch: the
-    function is one of a list of values."""
+    function is one of a list of values. spread: the work is slow for its bytes, so it is dealt out over all cores, where
+    partitions merged by size would leave some idle."""
     kind = StructType.fromDDL(schema)
 
     def run(batches):
@@ -36,10 +38,20 @@ def apply_distinct(rows: DataFrame, column: str, schema: str, make: Callable[[],
     udf = F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)
     key = F.coalesce(F.sha2(column, 256), F.lit("null")).alias("_digest")
     keyed = rows.withColumn("_digest", key)
-    once = keyed.groupBy("_digest").agg(F.first(column).alias("_value")).select("_digest", udf("_value").alias(into))
+    values = keyed.groupBy("_digest").agg(F.first(column).alias("_value"))
+    if spread:
+        spark = rows.sparkSession
+        values = values.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_digest")
+    once = values.select("_digest", udf("_value").alias(into))
     return keyed.join(once, "_digest").drop("_digest")
 
 
+@lru_cache(maxsize=2)
+def _indexed(ranked: tuple[str, ...]) -> Dictionary:
+    """The index of a list of words, once for each worker, not for each task."""
+    return Dictionary(list(ranked))
+
+
 def dictionary(words: DataFrame, order: str = "df") -> list[str]:
     """The first MOST_WORDS words of words(word, df), commonest first."""
     return [r["word"] for r in words.orderBy(F.desc(order), "word").limit(MOST_WORDS).collect()]
@@ -78,11 +90,11 @@ def scores(rows: DataFrame, ranked: list[str], column: str = "text") -> DataFram
     shared = rows.sparkSession.sparkContext.broadcast(ranked)
 
     def make():
-        words = Dictionary(shared.value)
+        words = _indexed(tuple(shared.value))
 
         return lambda ts: [(score, [f"{kind}: {label}" for kind, label, _ in flags], [p for _, _, p in flags]) for score, flags in scoring.efficiencies(ts, words)]
 
-    return apply_distinct(rows, column, "score int, flags array<string>, points array<int>", make, "efficiency", batch=True)
+    return apply_distinct(rows, column, "score int, flags array<string>, points array<int>", make, "efficiency", batch=True, spread=True)
 
 
 def flag_frequency(scored: DataFrame) -> DataFrame:
@@ -118,7 +130,7 @@ def languages(rows: DataFrame, ranked: list[str], column: str = "text") -> DataF
     shared = rows.sparkSession.sparkContext.broadcast(ranked)
 
     def make():
-        words = Dictionary(shared.value)
+        words = _indexed(tuple(shared.value))
         return lambda t: (language.looks_english(t, words), language.looks_english_vocabulary(t, words), language.is_code(t))
 
     return apply_distinct(rows, column, "english boolean, vocabulary boolean, code boolean", make, "language")
@@ -130,7 +142,7 @@ def compressed(rows: DataFrame, ranked: list[str], strictness: str = "condense",
     shared = rows.sparkSession.sparkContext.broadcast(ranked)
 
     def make():
-        words = Dictionary(shared.value)
+        words = _indexed(tuple(shared.value))
 
         def step(t):
             r = C.compress(t, words, strictness, count, preserve)
@@ -138,7 +150,7 @@ def compressed(rows: DataFrame, ranked: list[str], strictness: str = "condense",
 
         return step
 
-    return apply_distinct(rows, column, "status string, text string, mode string, before int, after int, percent int, candidates array<struct<mode: string, tokens: int, violations: array<string>>>", make, "compression")
+    return apply_distinct(rows, column, "status string, text string, mode string, before int, after int, percent int, candidates array<struct<mode: string, tokens: int, violations: array<string>>>", make, "compression", spread=True)
 
 
 def benchmark(done: DataFrame, *groups: str) -> DataFrame:

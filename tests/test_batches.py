@@ -5,6 +5,7 @@ import re
 
 from leanprompt.operators import text as T
 from leanprompt.text import automaton, protect, scoring
+from leanprompt.text import compress as C
 from leanprompt.text import words as W
 
 PARTS = ["`a`", "if (x) {", "}", "A) one", "B) two", "http://x.y/z", '"q"', "\n", " ", "word", "a_b", "e.g. ", "'''", "SELECT a FROM b;", "\t", "1.2.3", "$x", "--flag", ":)", "\x0b", "0", "ſ", "K", "    ", "x = 1", "é", "10 ms", "main.py", "<b>", "f(x)", "deadbeef1", "a@b.co", "hello ", "u ", "?? ", "please ", "write ", "every "]
@@ -33,3 +34,14 @@ def test_no_pattern_runs_where_the_automaton_rules_it_out():
 def test_census_counts_rows_apart_from_spans(spark):
     rows = spark.createDataFrame([("`a` and `b`",), ("`a` and `b`",), ("`c`",), (None,)], "text string")
     assert [tuple(r) for r in T.span_census(rows).collect()] == [("inline-code", 5, 3)]
+
+
+def test_results_kept_in_compression_change_nothing_and_work_is_spread(spark):
+    words = W.Dictionary(["word", "please", "explain", "list", "the"])
+    prompt = "Please explain the word word in order to list the simple, easy word. In order to list 3 words."
+    first = C.compress(prompt, words)
+    C.compress("please list the list", words)
+    assert C.compress(prompt, words) == first and C.content(prompt) is C.content(prompt)
+    done = T.compressed(spark.createDataFrame([(k, f"explain word {k}") for k in range(64)], "id long, text string"), ["word", "explain"])
+    values = [n for n in done._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in n]
+    assert values and done.count() == 64
