@@ -46,3 +46,23 @@ def test_words_end_at_accented_letters(spark):
 def test_waste_points_take_space_as_their_sql_does(spark, tmp_path):
     got = direct.waste_points(spark, documents(spark, tmp_path, ["I need to go", "I\x0bneed to go", "héllo hello!!", "w/x u, asdfſqwer"])).orderBy("doc_id").collect()
     assert [(r.preambles, r.greetings, r.punctuation, r.slang, r.keyboard) for r in got] == [(10, 0, 0, 0, 0), (0, 0, 0, 0, 0), (0, 5, 10, 0, 0), (0, 0, 0, 8, 12)]
+
+
+def test_similar_pairs_are_found_in_tiles(spark, monkeypatch):
+    r = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
+    texts = [" ".join(r.choice(words) for _ in range(6)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    v = {}
+    for x in ingest.gram_vectors(rows).collect():
+        v.setdefault(x.id, {})[x.gram] = x.w
+    dot = lambda a, b: sum(w * v[b].get(g, 0.0) for g, w in v[a].items())
+    want = {(a, b) for a in v for b in v if a < b and dot(a, b) >= 0.8}
+    for block, common in ((4_096, 4_096), (7, 5)):
+        monkeypatch.setattr(ingest, "BLOCK", block)
+        monkeypatch.setattr(ingest, "COMMON_GRAMS", common)
+        assert want and {(x.a, x.b) for x in ingest.similar_pairs(rows, 0.8).collect()} == want
+    plan = ingest.similar_pairs(rows, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan
+    rows = rows.select(F.struct("id", "text").alias("id"), "text")
+    assert ingest.similar_pairs(rows, 0.8).count() == len(want) and ingest.similar_pairs(rows.limit(0), 0.8).count() == 0
